@@ -22,25 +22,33 @@ from alignlake.llm.common import small_batches
 WIDTH = 1 << 15
 META_WIDTH = 1 << 10
 #: Labelled and unlabelled documents the classifiers see, at most: those of smallest doc_id hash.
-LABELLED, POOL = 4000, 2000
+LABELLED, POOL = 8000, 2000
 ROUNDS = 3
 #: Pseudo-labels of each class that a view hands over in a round, and the confidence they need.
 HANDED, SURE = 100, 0.97
 #: Score above which a document is rejected.
 THRESHOLD = 0.5
+#: Bytes of a word's beginning that make a slot of their own; slots kept for intercept and shape.
+STEM, SHAPES = 5, 64
+#: How many standard deviations more often than by chance bad rows must have a slot for it to count.
+TELLING = 4.5
+_MARKS = (b"#", b"*", b"$", b"%", b"&", b"|", b"<", b">", b"!")
 _EDGE = b".,;:!?*$%&#|\"'()[]{}<>-"
 
 
 def text_slots(data: bytes | None) -> list[int]:
-    """Distinct slots of a text's lower-cased words without edge punctuation, and of its shape."""
+    """Distinct slots of a text's lower-cased words without edge punctuation and of their beginnings, and of its shape."""
     data = data or b""
-    words = data.split()
+    words = data.lower().split()
     n = max(1, len(words))
-    slots = {64 + xxhash.xxh3_64_intdigest(w) % (WIDTH - 64) for w in {w.strip(_EDGE) for w in data.lower().split()} if w}
-    marks = sum(map(data.count, (b"#", b"*", b"$", b"%", b"&", b"|", b"<", b">", b"!")))
+    bare = {w.strip(_EDGE) for w in words}
+    stems = {w[:STEM] + b"~" for w in bare if len(w) > STEM}
+    slots = {SHAPES + xxhash.xxh3_64_intdigest(w) % (WIDTH - SHAPES) for w in bare | stems if w}
+    marks = sum(map(data.count, _MARKS))
     flat = np.frombuffer(data, np.uint8)
     upper, lower = int(np.count_nonzero((flat >= 65) & (flat <= 90))), int(np.count_nonzero((flat >= 97) & (flat <= 122)))
-    shape = (min(7, 10 * marks // n), min(7, 8 * upper // max(1, upper + lower)), min(7, len(words).bit_length() // 2))
+    again = sum(a == b for a, b in zip(words, words[1:]))
+    shape = (min(7, 10 * marks // n), min(7, 8 * upper // max(1, upper + lower)), min(7, 16 * again // n))
     return [0, *(1 + 8 * i + s for i, s in enumerate(shape)), *sorted(slots)]
 
 
@@ -62,11 +70,16 @@ class View:
         flat = np.fromiter((s for r in rows for s in r), np.int64, len(at))
         return np.bincount(at, self.weights[flat], minlength=len(rows))
 
-    def fit(self, rows: list[list[int]], y: np.ndarray, steps: int = 150, rate: float = 0.05, penalty: float = 2e-4) -> View:
+    def fit(self, rows: list[list[int]], y: np.ndarray, steps: int = 300, rate: float = 0.1, penalty: float = 1e-4) -> View:
+        """Fit the intercept and the slots that tell bad rows, so that good words don't excuse bad ones."""
         at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
         flat = np.fromiter((s for r in rows for s in r), np.int64, len(at))
-        often = np.bincount(flat, minlength=self.width) >= min(5, max(1, len(rows) // 20))
-        at, flat = at[often[flat]], flat[often[flat]]
+        seen, base = np.bincount(flat, minlength=self.width), y.mean()
+        more = np.bincount(flat, y[at], minlength=self.width) - seen * base
+        chance = np.sqrt(np.maximum(seen * base * (1 - base) * (1 - seen / len(rows)), 1e-9))
+        used = (more > TELLING * chance) & (seen >= 4)
+        used[0] = True
+        at, flat = at[used[flat]], flat[used[flat]]
         w, m, v = np.zeros(self.width), np.zeros(self.width), np.zeros(self.width)
         for t in range(1, steps + 1):
             p = _sigmoid(np.bincount(at, w[flat], minlength=len(rows)))
