@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -40,8 +41,10 @@ def materialise(df: DataFrame) -> DataFrame:
 def write(df: DataFrame, path: str, *partition_by: str) -> None:
     """Write a scratch table, then let the shuffles of the steps behind it go."""
     df.write.partitionBy(*partition_by).option("compression", "zstd").parquet(path)
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
+    for _ in range(2):  # the first round frees what the second can see as unused
+        gc.collect()
+        df.sparkSession._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def numbered(docs: DataFrame) -> DataFrame:
