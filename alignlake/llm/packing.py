@@ -10,6 +10,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from alignlake.llm.common import materialise
+
 BUCKETS = 8
 TOKEN_BUDGET = 32_768
 #: Lengths gathered one by one, at most; a longer tail is first rounded up to a common step.
@@ -81,9 +83,9 @@ def pack(measured: DataFrame, buckets: int = BUCKETS, budget: int = TOKEN_BUDGET
     bucket are numbered in shards whose counts, summed, give each shard's first number: only the last
     batch of a bucket is short, and no task numbers a whole bucket.  An empty table gives no rows.
     """
+    measured = materialise(measured.select("doc_id", "n_tokens"))  # texts are measured once
     lengths, counts, _ = histogram(measured)
     ends = boundaries(lengths, counts, buckets)
-    spark = measured.sparkSession
     if not ends:
         return measured.select("doc_id", "n_tokens", F.lit(0).alias("bucket"), F.lit(0).cast("long").alias("padded"), F.lit(0).cast("long").alias("batch"))
     at = F.lit(len(ends) - 1)
