@@ -2,8 +2,9 @@
 
 Inner products become distances by one added coordinate; Gaussian projections to ``DIMS`` numbers
 keep them in distribution.  A kd-tree over a bounded sample deals all vectors into cells.  A query
-visits cells in order of their projected distance and verifies every vector in them, until the
-chi-square test says that a nearer vector would almost surely have shown up by now.
+visits cells in order of their projected distance, each round more of them than the one before, and
+verifies every vector in them, until the chi-square test says that a nearer vector would almost
+surely have shown up by now.  A visit hands back only vectors that the rounds before don't rule out.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ SAMPLE, MOST_CELLS, CELL_ROWS = 20_000, 4096, 512
 BLOCK_ROWS = 4096
 #: Confidence of the stopping test.
 CONFIDENCE = 0.95
-#: Cells that a query visits in its first rounds; the last round takes all that the test still allows.
-VISITS = (1, 8)
+#: Cells that a query visits in its first round, and how many times more in each round after it.
+FIRST_VISITS, MORE = 1, 4
 
 
 def chi_square_quantile(p: float, m: int = DIMS) -> float:
@@ -154,7 +155,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     spread = F.pmod(F.xxhash64("rep"), F.get(F.array(*map(F.lit, share)), F.col("cell").cast("int")))
     held = materialise(placed.select("rep", "v", "cell", spread.alias("block")))
 
-    def plan(skip: int, most: int | None):
+    def plan(skip: int, most: int):
         def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in parts:
                 if not part.num_rows:
@@ -167,15 +168,15 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
                     bound = np.where(blocks > 0, (gap * gap).sum(1), np.inf)
                     order = np.argsort(bound, kind="stable")
                     true = (v[i] @ v[i]) + square - 2 * worst[i] if worst[i] == worst[i] else np.inf
-                    order = order[skip : None if most is None else skip + most]
+                    order = order[skip : skip + most]
                     order = order[(bound[order] <= reach * true) & np.isfinite(bound[order])]
                     for c in order.tolist():
                         who += [i] * int(blocks[c])
                         where += [(c, b) for b in range(int(blocks[c]))]
                 take = part.take(pa.array(who, pa.int64())) if who else part.slice(0, 0)
                 yield pa.RecordBatch.from_arrays(
-                    [take.column(0), take.column(1), pa.array([c for c, _ in where], pa.int64()), pa.array([b for _, b in where], pa.int64())],
-                    names=["query", "q", "cell", "block"],
+                    [take.column(0), take.column(1), take.column(2), pa.array([c for c, _ in where], pa.int64()), pa.array([b for _, b in where], pa.int64())],
+                    names=["query", "q", "worst", "cell", "block"],
                 )
 
         return run
@@ -185,31 +186,32 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
         if left.num_rows and right.num_rows:
             ids, v = right["rep"].to_numpy(), _matrix(right["v"].combine_chunks())
             asks, q = left["query"].to_numpy(), _matrix(left["q"].combine_chunks())
+            least = np.nan_to_num(left["worst"].to_numpy(), nan=-np.inf)  # nothing under it can be among the nearest
             order = np.argsort(ids)
             ids, v = ids[order], v[order]
             for s in range(0, len(asks), 256):
                 scores = q[s : s + 256] @ v.T
                 best = np.argsort(-scores, axis=1, kind="stable")[:, : k + 1]
-                out[0].append(np.repeat(asks[s : s + 256], best.shape[1]))
-                out[1].append(ids[best].ravel())
-                out[2].append(np.take_along_axis(scores, best, 1).ravel())
+                top = np.take_along_axis(scores, best, 1)
+                good = top >= least[s : s + 256, None]
+                out[0].append(np.repeat(asks[s : s + 256], good.sum(1)))
+                out[1].append(ids[best][good])
+                out[2].append(top[good])
         cols = [np.concatenate(x) if x else np.empty(0, t) for x, t in zip(out, (np.int64, np.int64, np.float64), strict=True)]
         return pa.table(dict(zip(("query", "rep", "score"), map(pa.array, cols), strict=True)))
 
     found = None
     state = queries.select("rep", "v", F.lit(float("nan")).alias("worst"))
-    skip = 0
-    for most in (*VISITS, None):
-        if skip >= n_cells:
-            break
-        visits = state.mapInArrow(plan(skip, most), "query long, q array<double>, cell long, block long")
+    skip, most = 0, FIRST_VISITS
+    while skip < n_cells:
+        visits = state.mapInArrow(plan(skip, most), "query long, q array<double>, worst double, cell long, block long")
         hits = visits.groupBy("cell", "block").cogroup(held.groupBy("cell", "block")).applyInArrow(verify, "query long, rep long, score double")
         found = hits if found is None else found.unionByName(hits)
         found = found.withColumn("place", F.expr("row_number() over (partition by query order by score desc, rep)")).where(f"place <= {k + 1}").drop("place")
         found = materialise(found)
         worst = found.groupBy("query").agg(F.when(F.count("*") > k, F.min("score")).otherwise(F.lit(float("nan"))).alias("worst"))
         state = queries.join(worst, queries["rep"] == worst["query"], "left").select("rep", "v", F.coalesce("worst", F.lit(float("nan"))).alias("worst"))
-        skip += most or n_cells
+        skip, most = skip + most, MORE * most
     alike = asked.join(queries.withColumnRenamed("rep", "query"), "v").select("query", F.col("vec_id").alias("query_id"))
     each = alike.join(found, "query").join(members.select("rep", "vec_id"), "rep").where("query_id != vec_id")
     ranked = each.withColumn("rank", F.expr("row_number() over (partition by query_id order by score desc, vec_id)"))
