@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from alignlake.llm.common import small_batches
 
-WIDTH = 1 << 15
+#: Slots of the text view: so many that the many words of a long text seldom share a slot with a telling one.
+WIDTH = 1 << 20
 META_WIDTH = 1 << 10
 #: Labelled and unlabelled documents the classifiers see, at most: those of smallest doc_id hash.
 LABELLED, POOL = 8000, 2000
@@ -28,8 +29,8 @@ ROUNDS = 3
 HANDED, SURE = 100, 0.97
 #: Score above which a document is rejected.
 THRESHOLD = 0.5
-#: Bytes of a word's beginning that make a slot of their own; slots kept for intercept and shape.
-STEM, SHAPES = 5, 64
+#: Bytes of a word's beginnings that make slots of their own; slots kept for intercept and shape.
+STEMS, SHAPES = (4, 5), 64
 #: How many standard deviations more often than by chance bad rows must have a slot for it to count.
 TELLING = 4.5
 _MARKS = (b"#", b"*", b"$", b"%", b"&", b"|", b"<", b">", b"!")
@@ -40,15 +41,15 @@ def text_slots(data: bytes | None) -> list[int]:
     """Distinct slots of a text's lower-cased words without edge punctuation and of their beginnings, and of its shape."""
     data = data or b""
     words = data.lower().split()
-    n = max(1, len(words))
+    total = max(1, len(words))
     bare = {w.strip(_EDGE) for w in words}
-    stems = {w[:STEM] + b"~" for w in bare if len(w) > STEM}
+    stems = {w[:n] + b"~" for n in STEMS for w in bare if len(w) >= n}
     slots = {SHAPES + xxhash.xxh3_64_intdigest(w) % (WIDTH - SHAPES) for w in bare | stems if w}
     marks = sum(map(data.count, _MARKS))
     flat = np.frombuffer(data, np.uint8)
     upper, lower = int(np.count_nonzero((flat >= 65) & (flat <= 90))), int(np.count_nonzero((flat >= 97) & (flat <= 122)))
     again = sum(a == b for a, b in zip(words, words[1:]))
-    shape = (min(7, 10 * marks // n), min(7, 8 * upper // max(1, upper + lower)), min(7, 16 * again // n))
+    shape = (min(7, 10 * marks // total), min(7, 8 * upper // max(1, upper + lower)), min(7, 16 * again // total))
     return [0, *(1 + 8 * i + s for i, s in enumerate(shape)), *sorted(slots)]
 
 
@@ -79,14 +80,16 @@ class View:
         chance = np.sqrt(np.maximum(seen * base * (1 - base) * (1 - seen / len(rows)), 1e-9))
         used = (more > TELLING * chance) & (seen >= 4)
         used[0] = True
-        at, flat = at[used[flat]], flat[used[flat]]
-        w, m, v = np.zeros(self.width), np.zeros(self.width), np.zeros(self.width)
+        place = np.cumsum(used) - 1
+        at, flat, n = at[used[flat]], place[flat[used[flat]]], int(used.sum())
+        w, m, v = np.zeros(n), np.zeros(n), np.zeros(n)
         for t in range(1, steps + 1):
             p = _sigmoid(np.bincount(at, w[flat], minlength=len(rows)))
-            g = np.bincount(flat, (p - y)[at], minlength=self.width) / len(rows) + penalty * w
+            g = np.bincount(flat, (p - y)[at], minlength=n) / len(rows) + penalty * w
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        self.weights = w
+        self.weights = np.zeros(self.width, np.float32)
+        self.weights[used] = w
         return self
 
 
