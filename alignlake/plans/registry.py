@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from alignlake.plans import alignments, sequences, windows
+from alignlake.plans import alignments, annotations, sequences, windows
 
-_MODULES = (alignments, sequences, windows)
+_MODULES = (alignments, sequences, windows, annotations)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
