@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alignlake.llm.common import map_texts, materialise, small_batches
+from alignlake.llm.common import map_texts, materialise, numbered, small_batches
 from alignlake.llm.components import components
 
 SEED = 42
@@ -171,13 +171,23 @@ def simhash_components(docs: DataFrame, shingle: int = 3, max_bits: int = 3) ->
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFrame:
-    """One row of each group of near-duplicates: that of the smallest doc_id.
+    """One row of each group of near-duplicates: that of the smallest doc_id, then the first one.
 
-    Repeated rows of that doc_id are cut to one; a row without doc_id stays where its whole group has none.
+    Rows count by themselves, so rows without doc_id or under one doc_id are alike only if their texts
+    are; a row without doc_id leads where its whole group has none.  ``docs`` must be a stable read.
     """
-    found = simhash_components(docs.select("doc_id", "text"), shingle, max_bits)
-    leaders = found.where("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(leaders, docs["doc_id"].eqNullSafe(leaders["doc_id"]), "left_semi")
+    rows = numbered(docs)
+    found = simhash_components(rows.select(F.col("_row").alias("doc_id"), "text"), shingle, max_bits)
+    return leaders(docs, found)
+
+
+def leaders(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that lead their component; ``found(doc_id, component_id)`` has row numbers as doc_id."""
+    rows = numbered(docs)
+    found = found.select(F.col("doc_id").alias("_row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
+    first = rows.select("_row", "doc_id").join(found, "_row").groupBy("component_id").agg(F.min(order).alias("first"))
+    return rows.join(first.select("first._row"), "_row", "left_semi").select(*docs.columns)
 
 
 def hex_fingerprint(column: str = "fp"):
