@@ -14,8 +14,6 @@ from alignlake.llm.common import materialise
 
 BUCKETS = 8
 TOKEN_BUDGET = 32_768
-#: Lengths gathered one by one, at most; a longer tail is first rounded up to a common step.
-HISTOGRAM = 50_000
 #: Rows of a bucket that are numbered in one group.
 SHARD_ROWS = 100_000
 
@@ -65,14 +63,12 @@ def word_count(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_tokens", words.cast("long"))
 
 
-def histogram(measured: DataFrame, most: int = HISTOGRAM) -> tuple[np.ndarray, np.ndarray, int]:
-    """(lengths, rows, step): all rows by length; lengths are rounded up to ``step``, one unless there are over ``most``."""
-    top = measured.agg(F.max("n_tokens")).first()[0] or 0
-    step = max(1, -(-int(top) // most))
-    rounded = (F.ceil(F.col("n_tokens") / step) * step).cast("long")
-    rows = measured.groupBy(rounded.alias("length")).agg(F.count("*").alias("n")).collect()
+def histogram(measured: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths, rows): all rows by exact length.  D lengths take D * (D - 1) / 2 words at least, so what
+    is gathered grows at most with the square root of all words."""
+    rows = measured.groupBy("n_tokens").agg(F.count("*").alias("n")).collect()
     rows.sort()
-    return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), step
+    return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
 
 
 def pack(measured: DataFrame, buckets: int = BUCKETS, budget: int = TOKEN_BUDGET, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -84,7 +80,7 @@ def pack(measured: DataFrame, buckets: int = BUCKETS, budget: int = TOKEN_BUDGET
     batch of a bucket is short, and no task numbers a whole bucket.  An empty table gives no rows.
     """
     measured = materialise(measured.select("doc_id", "n_tokens"))  # texts are measured once
-    lengths, counts, _ = histogram(measured)
+    lengths, counts = histogram(measured)
     ends = boundaries(lengths, counts, buckets)
     if not ends:
         return measured.select("doc_id", "n_tokens", F.lit(0).alias("bucket"), F.lit(0).cast("long").alias("padded"), F.lit(0).cast("long").alias("batch"))
