@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-
 def letters(sequences: DataFrame) -> DataFrame:
     """``(seq_id, pos, ch)``, one record for each residue."""
     return sequences.select("seq_id", F.posexplode(F.filter(F.split("seq", ""), lambda c: c != "")).alias("pos", "ch"))
@@ -53,13 +52,26 @@ def prefix_count(kmers: DataFrame, prefix: str) -> DataFrame:
     return kmers.where(F.col("word").startswith(prefix)).agg(F.lit(prefix).alias("prefix"), F.sum("n").alias("n"))
 
 
-def frequent_words(sequences: DataFrame, shortest: int, longest: int, least: int) -> DataFrame:
-    """Words of each length that occur ``least`` times or more; only frequent words are grown."""
-    found = level = kmer_count(sequences, shortest).where(F.col("n") >= least)
-    for k in range(shortest + 1, longest + 1):
-        grown = words(sequences, k).withColumn("seed", F.expr(f"substring(word, 1, {k - 1})"))
-        level = grown.join(level.select(F.col("word").alias("seed")), "seed", "left_semi").groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+def frequent_words(sequences: DataFrame, shortest: int, longest: int, least: int, step: int = 8) -> DataFrame:
+    """Words of each length that occur ``least`` times or more; only places of frequent words are grown, ``step`` letters at once."""
+    from alignlake.llm.common import materialise, numbered  # here, as the entry module also loads without alignlake.llm
+
+    seqs = materialise(numbered(sequences.select("seq")).withColumnRenamed("_row", "seq_id"))
+    often = lambda found: materialise(found.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least))
+    found = level = often(words(seqs, shortest))
+    now, k = words(seqs, shortest), shortest
+    while k < longest:
+        more = min(step, longest - k)
+        now = materialise(now.join(level.select("word"), "word", "left_semi"))
+        tails = now.join(seqs, "seq_id").withColumn("tail", F.expr(f"substring(seq, at + {k + 1}, {more})")).where("tail != ''")
+        grown = F.explode(F.expr("transform(sequence(1, length(tail)), i -> concat(word, substring(tail, 1, i)))"))
+        level = often(tails.select(grown.alias("word")))
         found = found.unionByName(level)
+        k += more
+        level = level.where(F.length("word") == k)
+        if level.isEmpty():
+            break
+        now = tails.where(F.length("tail") == more).select("seq_id", "at", F.concat("word", "tail").alias("word"))
     return found
 
 
