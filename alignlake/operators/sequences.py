@@ -112,17 +112,26 @@ def track_to_features(track: DataFrame, least: float) -> DataFrame:
     return high.groupBy("seq_id", "island").agg((F.min("pos") + 1).alias("start"), (F.max("pos") + 1).alias("end"), F.round(F.sum("value"), 6).alias("score")).drop("island")
 
 
-def ancestors(nodes: DataFrame, rounds: int = 6) -> DataFrame:
-    """``nodes(node, parent, branch_len)`` -> every (node, ancestor, hops, distance), by doubling the links' reach."""
+def ancestors(nodes: DataFrame) -> DataFrame:
+    """``nodes(node, parent, branch_len)`` -> every (node, ancestor, hops, distance), by doubling the links' reach.
+
+    Rounds go on until none finds farther pairs, each one's pairs written and read again; a cycle is an error.
+    """
+    from alignlake.llm.common import materialise  # here, as the entry module also loads without alignlake.llm
+
     up = nodes.where("parent is not null").select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("hops"), F.col("branch_len").alias("distance"))
-    for _ in range(rounds):
+    up, reach, links = materialise(up), 1, None
+    while True:
         a, b = up.alias("a"), up.alias("b")
-        reach = a.agg(F.max("hops")).first()[0] or 0
         far = a.where(F.col("a.hops") == reach).join(b, F.col("a.ancestor") == F.col("b.node")).select("a.node", "b.ancestor", (F.col("a.hops") + F.col("b.hops")).alias("hops"), (F.col("a.distance") + F.col("b.distance")).alias("distance"))
+        far = materialise(far)
         if far.isEmpty():
-            break
+            return up
+        links = up.count() if links is None else links
+        reach *= 2
+        if reach > 2 * links:
+            raise ValueError("the parents of some nodes form a cycle")
         up = up.unionByName(far)
-    return up
 
 
 def leaves(nodes: DataFrame) -> DataFrame:
