@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from alignlake.scratch import materialise, numbered
+
 def letters(sequences: DataFrame) -> DataFrame:
     """``(seq_id, pos, ch)``, one record for each residue."""
     return sequences.select("seq_id", F.posexplode(F.filter(F.split("seq", ""), lambda c: c != "")).alias("pos", "ch"))
@@ -54,9 +56,7 @@ def prefix_count(kmers: DataFrame, prefix: str) -> DataFrame:
 
 def frequent_words(sequences: DataFrame, shortest: int, longest: int, least: int, step: int = 8) -> DataFrame:
     """Words of each length that occur ``least`` times or more; only places of frequent words are grown, ``step`` letters at once."""
-    from alignlake.llm.common import materialise, numbered  # here, as the entry module also loads without alignlake.llm
-
-    seqs = materialise(numbered(sequences.select("seq")).withColumnRenamed("_row", "seq_id"))
+    seqs = numbered(sequences.select("seq"), "seq_id")
     often = lambda found: materialise(found.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least))
     found = level = often(words(seqs, shortest))
     now, k = words(seqs, shortest), shortest
@@ -117,8 +117,6 @@ def ancestors(nodes: DataFrame) -> DataFrame:
 
     Rounds go on until none finds farther pairs, each one's pairs written and read again; a cycle is an error.
     """
-    from alignlake.llm.common import materialise  # here, as the entry module also loads without alignlake.llm
-
     up = nodes.where("parent is not null").select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("hops"), F.col("branch_len").alias("distance"))
     up, reach, links = materialise(up), 1, None
     while True:
