@@ -1,0 +1 @@
+"""Column functions: everything here stays inside Spark's own expressions."""

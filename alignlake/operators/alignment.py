@@ -12,6 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 GAP_CHARS = "-._"
+#: Columns that are numbered in one group.
+BLOCK = 1 << 16
 _ROW = ("aln_id", "row_no", "name")
 
 
@@ -20,17 +22,34 @@ def is_gap(ch: str = "ch", gap_chars: str = GAP_CHARS) -> Column:
 
 
 def to_cells(rows: DataFrame, gap_chars: str = GAP_CHARS) -> DataFrame:
-    """Rows to cells, with gap flag and running residue index."""
-    letters = F.filter(F.split("gapped", ""), lambda c: c != "")
-    cells = rows.select(*_ROW, F.posexplode(letters).alias("col", "ch")).withColumn("is_gap", is_gap("ch", gap_chars))
-    return number_residues(cells)
+    """Rows to cells, with gap flag and running residue index, which comes from the row itself: no shuffle."""
+    gap = lambda x: x["ch"].isin(*gap_chars)
+    letters = F.transform(F.filter(F.split("gapped", ""), lambda c: c != ""), lambda c, i: F.struct(i.alias("col"), c.alias("ch")))
+    cell = lambda x, is_gap, pos: F.struct(x["col"].alias("col"), x["ch"].alias("ch"), F.lit(is_gap).alias("is_gap"), pos.cast("int").alias("pos"))
+    residues = F.transform(F.filter("letters", lambda x: ~gap(x)), lambda x, i: cell(x, False, i))
+    gaps = F.transform(F.filter("letters", gap), lambda x: cell(x, True, F.lit(None)))
+    return rows.select(*_ROW, letters.alias("letters")).select(*_ROW, F.inline(F.concat(residues, gaps)))
+
+
+def running_count(df: DataFrame, keys: list[str], flag: Column, name: str) -> DataFrame:
+    """``df`` with the number of flagged records up to each column of its keys, itself included.
+
+    Columns are counted in blocks of ``BLOCK``, whose totals are summed up first, so that one very long row or
+    alignment is spread over many tasks.
+    """
+    dealt = df.withColumn("block", F.expr(f"col div {BLOCK}")).withColumn("flag", flag.cast("int")).repartition(*keys, "block")
+    inside = W.partitionBy(*keys, "block").orderBy("col").rowsBetween(W.unboundedPreceding, 0)
+    earlier = W.partitionBy(*keys).orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    totals = dealt.groupBy(*keys, "block").agg(F.sum("flag").alias("n"))
+    totals = totals.select(*keys, "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")).where("before > 0")
+    counted = dealt.withColumn("n", F.sum("flag").over(inside)).join(totals, [*keys, "block"], "left")
+    return counted.select(*df.columns, (F.col("n") + F.coalesce("before", F.lit(0))).alias(name))
 
 
 def number_residues(cells: DataFrame) -> DataFrame:
     """Set ``pos`` anew from the columns' order."""
-    before = W.partitionBy(*_ROW).orderBy("col").rowsBetween(W.unboundedPreceding, 0)
-    pos = F.when(~F.col("is_gap"), F.count_if(~F.col("is_gap")).over(before) - 1)
-    return cells.withColumn("pos", pos.cast("int")).select(*_ROW, "col", "ch", "is_gap", "pos")
+    counted = running_count(cells.select(*_ROW, "col", "ch", "is_gap"), [*_ROW], ~F.col("is_gap"), "seen")
+    return counted.select(*_ROW, "col", "ch", "is_gap", F.when(~F.col("is_gap"), F.col("seen") - 1).cast("int").alias("pos"))
 
 
 def to_rows(cells: DataFrame) -> DataFrame:
@@ -67,9 +86,8 @@ def complement(ch: str) -> Column:
 
 def renumber(cells: DataFrame) -> DataFrame:
     """Close the gaps that dropped columns leave in each alignment's column numbers."""
-    order = W.partitionBy("aln_id").orderBy("col")
-    left = cells.select("aln_id", "col").distinct().withColumn("to", F.row_number().over(order) - 1)
-    moved = cells.join(left, ["aln_id", "col"]).withColumn("col", F.col("to"))
+    left = running_count(cells.select("aln_id", "col").distinct(), ["aln_id"], F.lit(1), "to")
+    moved = cells.join(left, ["aln_id", "col"]).withColumn("col", (F.col("to") - 1).cast("int"))
     return number_residues(moved)
 
 

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from alignlake.functions.residues import STANDARD_CODE
+from alignlake.operators.alignment import running_count
 from alignlake.operators.sequences import bracket_pairs
 from alignlake.operators.trees import lineage
 
-#: Amino acids of the standard genetic code, codons in the order of t, c, a, g.
-STANDARD_CODE = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
 PAIR = ["aln_id", "lcol", "rcol"]
 
 
@@ -93,8 +93,8 @@ def paired_columns(structure: DataFrame, cells: DataFrame) -> DataFrame:
 
 def mini_slices(columns: DataFrame, n: int) -> DataFrame:
     """Unpaired columns in chunks of ``n``."""
-    at = F.row_number().over(W.partitionBy("aln_id").orderBy("col")) - 1
-    return columns.where("not paired").select("aln_id", "col", F.floor(at / n).cast("int").alias("slice"))
+    at = running_count(columns.where("not paired").select("aln_id", "col"), ["aln_id"], F.lit(1), "at")
+    return at.select("aln_id", "col", F.floor((F.col("at") - 1) / n).cast("int").alias("slice"))
 
 
 def sample_alignments(df: DataFrame, share: float, seed: str) -> DataFrame:

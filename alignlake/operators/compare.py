@@ -1,7 +1,7 @@
 """Comparing alignments: aligned pairs, gaps, columns, and the scores built on them.
 
 Pairs join on (alignment, column), never on the alignment alone, so one huge alignment spreads out.
-Where only counts are wanted they come from per-column symbol counts, without a join.
+Where only counts are wanted they come from counts per column, without making pairs.
 """
 
 from __future__ import annotations
@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from alignlake.operators.alignment import BLOCK
+from alignlake.scratch import materialise
+
 
 def residue_pairs(cells: DataFrame) -> DataFrame:
     """All pairs of residues that share a column, names in order."""
@@ -39,42 +42,48 @@ def column_signatures(cells: DataFrame) -> DataFrame:
     return per.where("n > 0").select("aln_id", "signature", "n")
 
 
-def _shared(a: DataFrame, b: DataFrame, keys: list[str], name: str) -> DataFrame:
-    return a.join(b, keys, "left_semi").groupBy("aln_id").agg(F.count("*").alias(name))
-
+def column_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``(aln_id, col_a, col_b, n)``: how many residues stand in a column of ``a`` and in one of ``b``."""
+    side = lambda cells, col: cells.where("not is_gap").select("aln_id", "name", "pos", F.col("col").alias(col))
+    return side(a, "col_a").join(side(b, "col_b"), ["aln_id", "name", "pos"]).groupBy("aln_id", "col_a", "col_b").agg(F.count("*").alias("n"))
 
-def _count(a: DataFrame, name: str) -> DataFrame:
-    return a.groupBy("aln_id").agg(F.count("*").alias(name))
 
+def pair_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``(aln_id, n1, n2, n_shared)``: residue pairs of two rows that both alignments have.
 
-_PAIR = ["aln_id", "n1", "n2", "pos1", "pos2"]
+    Residues meet where both their columns agree, so only shared pairs are ever made.
+    """
+    side = lambda cells, col: cells.where("not is_gap").select("aln_id", "name", "pos", F.col("col").alias(col))
+    both = side(a, "col_a").join(side(b, "col_b"), ["aln_id", "name", "pos"])
+    x, y = both.select("aln_id", "col_a", "col_b", F.col("name").alias("n1")), both.select("aln_id", "col_a", "col_b", F.col("name").alias("n2"))
+    return x.join(y, ["aln_id", "col_a", "col_b"]).where("n1 < n2").groupBy("aln_id", "n1", "n2").agg(F.count("*").alias("n_shared"))
 
 
 def compare_alignments(a: DataFrame, b: DataFrame) -> DataFrame:
     """How well two alignments of the same sequences agree: SPS, PPV, TCS and AMA of each alignment.
 
-    Empty columns take no part.  A ratio over nothing is null.
+    Both are flush.  Empty columns take no part; a ratio over nothing is null.  All counts come from how many
+    residues each column of ``a`` shares with each of ``b``: no pair of residues is ever made.
     """
-    pa, pb = (residue_pairs(x).select(_PAIR) for x in (a, b))
-    ca, cb = (column_signatures(x).select("aln_id", "signature").distinct() for x in (a, b))
-    ga, gb = gap_pairs(a), gap_pairs(b)
-    base = a.where("not is_gap").groupBy("aln_id").agg(F.count("*").alias("residues"))
-    base = base.join(a.groupBy("aln_id").agg(F.countDistinct("name").alias("rows")), "aln_id")
-    parts = [
-        _count(pa, "pairs_a"),
-        _count(pb, "pairs_b"),
-        _shared(pa, pb, _PAIR, "pairs_both"),
-        _count(ca, "cols_a"),
-        _shared(ca, cb, ["aln_id", "signature"], "cols_both"),
-        _shared(ga, gb, ["aln_id", "name", "other", "pos"], "gaps_both"),
-    ]
-    for p in parts:
-        base = base.join(p, "aln_id", "left")
-    base = base.na.fill(0)
+    key = ["aln_id", "col_a", "col_b"]
+    full = lambda cells, col: cells.where("not is_gap").select("aln_id", "name", F.col("col").alias(col))
+    size = lambda cells, col, n: full(cells, col).groupBy("aln_id", col).agg(F.count("*").alias(n))
+    na, nb = size(a, "col_a", "na"), size(b, "col_b", "nb")
+    met = materialise(column_pairs(a, b).join(na, ["aln_id", "col_a"]).join(nb, ["aln_id", "col_b"]))
+    one_to_one = met.where("n = na and n = nb").select(*key, F.col("n").alias("common"))  # the same residues: nothing to look up
+    some = met.where("not (n = na and n = nb)").select(*key)
+    looked = some.join(full(a, "col_a"), ["aln_id", "col_a"]).join(full(b, "col_b"), ["aln_id", "col_b", "name"]).groupBy(*key).agg(F.count("*").alias("common"))
+    pairs = lambda n: F.sum(F.expr(f"{n} * ({n} - 1) div 2"))
+    base = na.groupBy("aln_id").agg(F.sum("na").alias("residues"), pairs("na").alias("pairs_a"), F.count("*").alias("cols_a"))
+    base = base.join(a.select("aln_id", "name").distinct().groupBy("aln_id").agg(F.count("*").alias("rows")), "aln_id")
+    base = base.join(nb.groupBy("aln_id").agg(pairs("nb").alias("pairs_b")), "aln_id", "left")
+    shared = met.join(one_to_one.unionByName(looked), key).join(base.select("aln_id", "rows"), "aln_id")
+    shared = shared.groupBy("aln_id").agg(pairs("n").alias("pairs_both"), F.count_if(F.expr("n = na and n = nb")).alias("cols_both"), F.sum(F.expr("n * (rows - na - nb + common)")).alias("gaps_both"))
+    base = base.join(shared, "aln_id", "left").na.fill(0)
     ratio = lambda x, y: F.when(F.expr(y) != 0, F.expr(x).cast("double") / F.expr(y))
     ama = ratio("2 * pairs_both + gaps_both", "residues * (rows - 1)")
     return base.select(
-        "aln_id", "pairs_a", "pairs_b", "pairs_both", "cols_a", "cols_both",
+        "aln_id", "pairs_a", "pairs_b", "pairs_both", "gaps_both", "cols_a", "cols_both",
         F.round(ratio("pairs_both", "pairs_a"), 9).alias("sps"), F.round(ratio("pairs_both", "pairs_b"), 9).alias("ppv"),
         F.round(ratio("cols_both", "cols_a"), 9).alias("tcs"), F.round(ama, 9).alias("ama"),
     )
@@ -166,10 +175,46 @@ def gap_blocks(cells: DataFrame) -> DataFrame:
     """Maximal runs of neighbouring columns with one gap profile."""
     flags = F.array_sort(F.collect_list(F.struct("row_no", F.when(F.col("is_gap"), "-").otherwise("x").alias("g"))))
     per = cells.groupBy("aln_id", "col").agg(F.array_join(F.transform(flags, lambda x: x["g"]), "").alias("profile"))
-    order = W.partitionBy("aln_id").orderBy("col")
-    new = F.when(F.lag("profile").over(order).eqNullSafe(F.col("profile")), 0).otherwise(1)
-    ids = per.withColumn("new", new).withColumn("block", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    return ids.groupBy("aln_id", "block").agg(F.min("col").alias("first_col"), F.max("col").alias("last_col"), F.first("profile").alias("profile"))
+    return runs_of(per, "profile").select("aln_id", F.col("run").alias("block"), F.col("start").alias("first_col"), F.col("stop").alias("last_col"), F.col("kind").alias("profile"))
+
+
+def runs_of(columns: DataFrame, kind: str, keys: tuple[str, ...] = ("aln_id",)) -> DataFrame:
+    """``columns(keys, col, kind)`` -> ``(keys, run, kind, start, stop, n)``: maximal runs of one kind, numbered from 1.
+
+    Runs are found inside blocks of columns and joined where they touch a block's border, so a very long
+    alignment is spread over many tasks.
+    """
+    at = columns.select(*keys, "col", F.col(kind).alias("kind")).withColumn("block", F.expr(f"col div {BLOCK}"))
+    inside = W.partitionBy(*keys, "block").orderBy("col")
+    new = F.when(F.lag("kind").over(inside) == F.col("kind"), 0).otherwise(1)
+    part = at.withColumn("new", new).withColumn("part", F.sum("new").over(inside.rowsBetween(W.unboundedPreceding, 0)))
+    parts = part.groupBy(*keys, "block", "part").agg(F.first("kind").alias("kind"), F.min("col").alias("start"), F.max("col").alias("stop"), F.count("*").alias("n"))
+    order = W.partitionBy(*keys).orderBy("start")  # over runs, not columns
+    joined = parts.withColumn("new", F.when(F.lag("kind").over(order) == F.col("kind"), 0).otherwise(1))
+    runs = joined.withColumn("run", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    return runs.groupBy(*keys, "run").agg(F.first("kind").alias("kind"), F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("n").alias("n"))
+
+
+def gap_chains(blocks: DataFrame) -> DataFrame:
+    """Chains of neighbouring gap blocks that share a row's gap: ``(aln_id, k, n)``, how many chains have ``k`` blocks.
+
+    Blocks without gaps end a chain.
+    """
+    order = W.partitionBy("aln_id").orderBy("block")
+    shares = F.exists(F.arrays_zip(F.split("profile", "").alias("x"), F.split("last", "").alias("y")), lambda z: (z["x"] == "-") & (z["y"] == "-"))
+    at = blocks.withColumn("last", F.coalesce(F.lag("profile").over(order), F.lit("")))
+    at = at.withColumn("chain", F.sum(F.when(shares, 0).otherwise(1)).over(order.rowsBetween(W.unboundedPreceding, 0))).where("profile like '%-%'")
+    return at.groupBy("aln_id", "chain").agg(F.count("*").alias("k")).groupBy("aln_id", "k").agg(F.count("*").alias("n"))
+
+
+def column_votes(signatures: DataFrame, samples: DataFrame) -> DataFrame:
+    """``signatures(trace, sample, signature, n, weight)`` -> summed weight of each column over a trace's samples, its share and SPS weight.
+
+    ``samples(trace, n_samples)``.  Columns of fewer than two residues take no part.
+    """
+    votes = signatures.where("n > 1").groupBy("trace", "signature", "n").agg(F.sum("weight").alias("votes"))
+    share = F.round(F.col("votes") / F.col("n_samples"), 9)
+    return votes.join(samples, "trace").select("trace", "signature", "votes", share.alias("share"), (F.col("n") * (F.col("n") - 1)).alias("sps_weight"))
 
 
 def majority_annotation(annotation: DataFrame) -> DataFrame:

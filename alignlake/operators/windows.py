@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from alignlake.operators.compare import runs_of
+from alignlake.scratch import materialise
+
 
 def sliding_windows(cells: DataFrame, size: int = 200, step: int | None = None) -> DataFrame:
     """1-based ``(aln_id, window, start, end)``: windows of ``size`` columns, the last one clipped; none starts once an end is reached."""
@@ -21,10 +26,7 @@ def pair_runs(cells: DataFrame, first: int = 0, second: int = 1) -> DataFrame:
     row = lambda r, name: cells.where(F.col("row_no") == r).select("aln_id", "col", F.col("is_gap").alias(name))
     both = row(first, "a").join(row(second, "b"), ["aln_id", "col"]).where("not (a and b)")
     kind = F.when(F.col("a"), "insert").when(F.col("b"), "delete").otherwise("match")
-    order = W.partitionBy("aln_id").orderBy("col")
-    at = both.withColumn("kind", kind).withColumn("new", F.when(F.lag("kind").over(order) == F.col("kind"), 0).otherwise(1))
-    runs = at.withColumn("run", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    return runs.groupBy("aln_id", "run").agg(F.first("kind").alias("kind"), F.min("col").alias("start"), F.count("*").alias("n"))
+    return runs_of(both.withColumn("kind", kind), "kind").select("aln_id", "run", "kind", "start", "n")
 
 
 def circular(sequences: DataFrame, n: int) -> DataFrame:
@@ -76,3 +78,72 @@ def append(first: DataFrame, second: DataFrame) -> DataFrame:
     """Both databases, alignments keyed anew so that none clash."""
     key = lambda df, mark: df.withColumn("aln_id", F.concat(F.lit(mark), "aln_id"))
     return key(first, "a-").unionByName(key(second, "b-"))
+
+
+def windowed(columns: DataFrame, windows: DataFrame, size: int, step: int) -> DataFrame:
+    """Each column of ``columns(aln_id, col, ...)`` in every window (see ``sliding_windows``) that covers it."""
+    first = F.greatest(F.ceil((F.col("col") - (size - 1)) / step), F.lit(0)).cast("int")
+    each = columns.withColumn("window", F.explode(F.sequence(first, F.floor(F.col("col") / step).cast("int"))))
+    return each.join(windows, ["aln_id", "window"])
+
+
+def window_filter(reference: DataFrame, windows: DataFrame, size: int, step: int, max_gaps: float = 0.8, min_bits: float = 2.0) -> DataFrame:
+    """Windows whose reference row ``(aln_id, col, ch, is_gap)`` isn't too gappy nor too plain.
+
+    Plainness is the entropy of neighbouring residues, case ignored, gaps left out.
+    """
+    at = windowed(reference, windows, size, step).withColumn("ch", F.lower("ch"))
+    gaps = at.groupBy("aln_id", "window", "start", "end").agg((F.count_if("is_gap") / (F.max("end") - F.max("start") + 1)).alias("gaps"))
+    order = W.partitionBy("aln_id", "window").orderBy("col")
+    two = at.where("not is_gap").withColumn("two", F.concat("ch", F.lead("ch").over(order))).where("two is not null")
+    n = two.groupBy("aln_id", "window", "two").agg(F.count("*").alias("n"))
+    p = F.col("n") / F.sum("n").over(W.partitionBy("aln_id", "window"))
+    bits = n.withColumn("p", p).groupBy("aln_id", "window").agg(F.round(-F.sum(F.col("p") * F.log2("p")), 9).alias("bits"))
+    kept = gaps.join(bits, ["aln_id", "window"], "left").withColumn("bits", F.coalesce("bits", F.lit(0.0)))
+    return kept.where((F.col("gaps") <= max_gaps) & (F.col("bits") >= min_bits)).select("aln_id", "window", "start", "end", "bits")
+
+
+def lift_features(features: DataFrame, windows: DataFrame) -> DataFrame:
+    """Window features ``(aln_id, window, id, start, end)`` in the alignment's coordinates under their window, and the windows themselves."""
+    to = windows.select("aln_id", "window", (F.col("start") - 1).alias("shift"), F.concat(F.lit("w"), "window").alias("parent"))
+    lifted = features.join(to, ["aln_id", "window"]).select("aln_id", F.lit("feature").alias("type"), "id", "parent", (F.col("start") + F.col("shift")).alias("start"), (F.col("end") + F.col("shift")).alias("end"))
+    top = windows.select("aln_id", F.lit("window").alias("type"), F.concat(F.lit("w"), "window").alias("id"), F.lit(None).cast("string").alias("parent"), "start", "end")
+    return lifted.unionByName(top)
+
+
+def merge_tracks(track: DataFrame, windows: DataFrame, overlap: int) -> DataFrame:
+    """``track(aln_id, window, col, value)`` -> one value for each column.
+
+    The first window's value stays unless later ones hold the column farther from their edge than half the
+    overlap; then the last of those counts.
+    """
+    edge = F.least(F.col("col") - (F.col("start") - 1), F.col("end") - 1 - F.col("col"))
+    at = track.join(windows, ["aln_id", "window"]).withColumn("far", edge > overlap / 2)
+    groups = at.groupBy("aln_id", "col").agg(F.min(F.struct("window", "value")).alias("first"), F.max(F.when(F.col("far"), F.struct("window", "value"))).alias("last"))
+    return groups.select("aln_id", "col", F.coalesce("last.value", "first.value").alias("value"))
+
+
+def null_scores(model: DataFrame, sequences: DataFrame, order: int, symbols: int) -> DataFrame:
+    """``(seq_id, n, score)``: summed log2 probability of each residue after the longest context that ``model`` has seen.
+
+    Contexts have at most ``order`` residues; a symbol has probability (n + 1) / (N + symbols) where the
+    context was seen N times before some symbol.
+    """
+    def spots(seqs: DataFrame) -> DataFrame:
+        at = seqs.where("seq != ''").select("seq_id", "seq", F.explode(F.expr("sequence(1, length(seq))")).alias("i"))
+        return at.select("seq_id", F.expr(f"substring(seq, greatest(i - {order}, 1), least(i - 1, {order}))").alias("past"), F.expr("substring(seq, i, 1)").alias("sym"))
+
+    seen = spots(model).groupBy("past", "sym").agg(F.count("*").alias("n"))
+    suffix = F.explode(F.expr("transform(sequence(0, length(past)), k -> right(past, k))"))
+    seen = materialise(seen.select(suffix.alias("past"), "sym", "n").groupBy("past", "sym").agg(F.sum("n").alias("n")))
+    total = seen.groupBy("past").agg(F.sum("n").alias("total"))
+    asked = materialise(spots(sequences).groupBy("seq_id", "past", "sym").agg(F.count("*").alias("times")))
+    words = asked.select("past", "sym").distinct().select(F.col("past").alias("whole"), "sym", suffix.alias("past"))
+    known = words.join(total, "past").join(seen, ["past", "sym"], "left").withColumn("p", (F.coalesce("n", F.lit(0)) + 1) / (F.col("total") + symbols))
+    best = known.groupBy("whole", "sym").agg(F.max(F.struct(F.length("past").alias("k"), "p"))["p"].alias("p")).withColumnRenamed("whole", "past")
+    return asked.join(best, ["past", "sym"]).groupBy("seq_id").agg(F.sum("times").alias("n"), F.round(F.sum(F.col("times") * F.log2("p")), 6).alias("score"))
+
+
+def merge_features(*tables: DataFrame) -> DataFrame:
+    """Features of several files one below the other; columns that some lack are null there."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)

@@ -194,7 +194,7 @@ def j1_residue_pairs(spark, sf_dir):
 
 _SETS = f"""WITH {I.CELLS_B},
 pa AS (SELECT x.aln_id, x.name AS n1, y.name AS n2, x.pos AS pos1, y.pos AS pos2 FROM cells x JOIN cells y ON x.aln_id = y.aln_id AND x.col = y.col AND x.name < y.name AND NOT x.is_gap AND NOT y.is_gap),
-pb AS (SELECT x.aln_id, x.name AS n1, y.name AS n2, x.pos AS pos1, y.pos AS pos2 FROM cells_b x JOIN cells_b y ON x.aln_id = y.aln_id AND x.col = y.col AND x.name < y.name),
+pb AS (SELECT x.aln_id, x.name AS n1, y.name AS n2, x.pos AS pos1, y.pos AS pos2 FROM cells_b x JOIN cells_b y ON x.aln_id = y.aln_id AND x.col = y.col AND x.name < y.name AND NOT x.is_gap AND NOT y.is_gap),
 ga AS (SELECT x.aln_id, x.name, y.name AS other, x.pos FROM cells x JOIN cells y ON x.aln_id = y.aln_id AND x.col = y.col AND x.name <> y.name AND NOT x.is_gap AND y.is_gap),
 gb AS (SELECT x.aln_id, x.name, y.name AS other, x.pos FROM cells_b x JOIN cells_b y ON x.aln_id = y.aln_id AND x.col = y.col AND x.name <> y.name AND NOT x.is_gap AND y.is_gap),
 ca AS (SELECT aln_id, string_agg(name || ':' || coalesce(pos, -1), ' ' ORDER BY name) AS signature, count(*) FILTER (WHERE NOT is_gap) AS n FROM cells GROUP BY aln_id, col HAVING n > 0),
@@ -203,8 +203,7 @@ cb AS (SELECT aln_id, string_agg(name || ':' || coalesce(pos, -1), ' ' ORDER BY
 
 @query(_SETS + " SELECT aln_id, n1, n2, count(*) AS n_shared FROM pa SEMI JOIN pb USING (aln_id, n1, n2, pos1, pos2) GROUP BY ALL")
 def j2_pair_overlap(spark, sf_dir):
-    a, b = (C.residue_pairs(x).select("aln_id", "n1", "n2", "pos1", "pos2") for x in (I.cells(spark, sf_dir), I.cells_b(spark, sf_dir)))
-    return a.join(b, a.columns, "left_semi").groupBy("aln_id", "n1", "n2").agg(F.count("*").alias("n_shared"))
+    return C.pair_overlap(I.cells(spark, sf_dir), I.cells_b(spark, sf_dir))
 
 
 @query(_SETS + " SELECT aln_id, name, other, count(*) AS n, count(*) FILTER (WHERE pos = 0) AS n_first FROM ga GROUP BY ALL")
@@ -318,7 +317,7 @@ LEFT JOIN (SELECT aln_id, count(*) AS n FROM pa SEMI JOIN pb USING (aln_id, n1,
 LEFT JOIN (SELECT aln_id, count(DISTINCT signature) AS n FROM ca GROUP BY ALL) u USING (aln_id)
 LEFT JOIN (SELECT aln_id, count(DISTINCT signature) AS n FROM ca SEMI JOIN cb USING (aln_id, signature) GROUP BY ALL) v USING (aln_id)
 LEFT JOIN (SELECT aln_id, count(*) AS n FROM ga SEMI JOIN gb USING (aln_id, name, other, pos) GROUP BY ALL) w USING (aln_id) GROUP BY aln_id, residues, rows_)
-SELECT aln_id, pairs_a, pairs_b, pairs_both, cols_a, cols_both, round(pairs_both / nullif(pairs_a, 0), 9) AS sps, round(pairs_both / nullif(pairs_b, 0), 9) AS ppv,
+SELECT aln_id, pairs_a, pairs_b, pairs_both, gaps_both, cols_a, cols_both, round(pairs_both / nullif(pairs_a, 0), 9) AS sps, round(pairs_both / nullif(pairs_b, 0), 9) AS ppv,
 round(cols_both / nullif(cols_a, 0), 9) AS tcs, round((2 * pairs_both + gaps_both) / nullif(residues * (rows_ - 1), 0), 9) AS ama FROM n""")
 def compare_alignments(spark, sf_dir):
     """A16 and A17: the flagship."""
@@ -365,9 +364,9 @@ def u3_pairs_except(spark, sf_dir):
     return a.exceptAll(b)
 
 
-@query(f"WITH {I.ROWS} SELECT aln_id, min(length(gapped))::INTEGER AS shortest, max(length(gapped))::INTEGER AS longest FROM rows_ GROUP BY ALL HAVING min(length(gapped)) <> max(length(gapped))")
+@query(f"WITH {I.ROWS} SELECT aln_id, min(length(gapped))::INTEGER AS shortest, max(length(gapped))::INTEGER AS longest FROM raw_ GROUP BY ALL HAVING min(length(gapped)) <> max(length(gapped))")
 def v1_check_flush(spark, sf_dir):
-    return A.check_flush(I.rows(spark, sf_dir))
+    return A.check_flush(I.raw_rows(spark, sf_dir))
 
 
 @query(f"WITH {I.ROWS} SELECT name, count(*) AS n FROM rows_ GROUP BY ALL HAVING count(*) > 1")

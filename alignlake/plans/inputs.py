@@ -1,7 +1,8 @@
 """Inputs derived from the driver's tables by fixed rules, in Spark and as SQL for the comparison.
 
 An alignment is a conversation: a row for each turn, a column for each character, a gap for every
-character outside a-z once lower-cased.  A second alignment of the same sequences closes all gaps.
+character outside a-z once lower-cased, shorter rows filled up with gaps.  In a second alignment of
+the same sequences the rows of odd number stand one column further right.
 """
 
 from __future__ import annotations
@@ -16,15 +17,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows as long as their turns."""
     t = table(spark, sf_dir, "conversations")
     return t.select(
         F.col("conv_id").cast("string").alias("aln_id"), F.col("turn").cast("int").alias("row_no"), F.concat("role", F.lit("-"), "turn").alias("name"), F.regexp_replace(F.lower("text"), "[^a-z]", "-").alias("gapped")
     )
 
 
+def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = raw_rows(spark, sf_dir)
+    width = raw.groupBy("aln_id").agg(F.max(F.length("gapped")).alias("width"))
+    return raw.join(width, "aln_id").select("aln_id", "row_no", "name", F.rpad("gapped", F.col("width"), "-").alias("gapped"))
+
+
 def rows_b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, sf_dir).withColumn("gapped", F.translate("gapped", "-", ""))
+    shifted = F.when(F.col("row_no") % 2 == 1, F.concat(F.lit("-"), "gapped")).otherwise(F.concat("gapped", F.lit("-")))
+    return rows(spark, sf_dir).withColumn("gapped", shifted)
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,17 +50,19 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select(F.col("doc_id").cast("string").alias("seq_id"), "lang", F.regexp_replace(F.lower("text"), "[^a-z]", "").alias("seq"))
 
 
-ROWS = """rows_ AS (SELECT conv_id::VARCHAR AS aln_id, turn::INTEGER AS row_no, role || '-' || turn AS name,
- regexp_replace(lower(text), '[^a-z]', '-', 'g') AS gapped FROM conversations)"""
+ROWS = """raw_ AS (SELECT conv_id::VARCHAR AS aln_id, turn::INTEGER AS row_no, role || '-' || turn AS name,
+ regexp_replace(lower(text), '[^a-z]', '-', 'g') AS gapped FROM conversations),
+rows_ AS (SELECT aln_id, row_no, name, rpad(gapped, (max(length(gapped)) OVER (PARTITION BY aln_id))::INTEGER, '-') AS gapped FROM raw_)"""
 
 
 def cells_sql(name: str = "cells", source: str = "rows_") -> str:
     return f"""{name}_0 AS (SELECT aln_id, row_no, name, unnest(range(0, length(gapped)))::INTEGER AS col, unnest(string_split(gapped, '')) AS ch FROM {source} WHERE gapped <> ''),
-{name} AS (SELECT *, ch = '-' AS is_gap, CASE WHEN ch <> '-' THEN (count(*) FILTER (WHERE ch <> '-') OVER (PARTITION BY aln_id, row_no, name ORDER BY col) - 1)::INTEGER END AS pos FROM {name}_0)"""
+{name} AS MATERIALIZED (SELECT *, ch = '-' AS is_gap, CASE WHEN ch <> '-' THEN (count(*) FILTER (WHERE ch <> '-') OVER (PARTITION BY aln_id, row_no, name ORDER BY col) - 1)::INTEGER END AS pos FROM {name}_0)"""
 
 
 CELLS = ROWS + ",\n" + cells_sql()
-CELLS_B = CELLS + ",\nrows_b AS (SELECT aln_id, row_no, name, replace(gapped, '-', '') AS gapped FROM rows_),\n" + cells_sql("cells_b", "rows_b")
+ROWS_B = ROWS + ",\nrows_b AS (SELECT aln_id, row_no, name, CASE WHEN row_no % 2 = 1 THEN '-' || gapped ELSE gapped || '-' END AS gapped FROM rows_)"
+CELLS_B = ROWS_B + ",\n" + cells_sql() + ",\n" + cells_sql("cells_b", "rows_b")
 SEQUENCES = "sequences AS (SELECT doc_id::VARCHAR AS seq_id, lang, regexp_replace(lower(text), '[^a-z]', '', 'g') AS seq FROM documents)"
 
 

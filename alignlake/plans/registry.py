@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from alignlake.plans import alignments, annotations, sequences, streams, windows
+from alignlake.plans import alignments, annotations, phylogeny, sequences, streams, traces, windows
 
-_MODULES = (alignments, sequences, windows, annotations, streams)
+_MODULES = (alignments, sequences, windows, annotations, phylogeny, traces, streams)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}

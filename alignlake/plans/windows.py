@@ -82,7 +82,7 @@ def j7_link_parents(spark, sf_dir):
     return X.link_parents(children, p.select(F.col("o_orderkey").alias("key"), F.col("o_orderkey").alias("id"), F.expr("o_custkey % 50 as start"), F.expr("o_custkey % 50 + 30 as end")))
 
 
-@query(f"""WITH {I.ROWS} SELECT 'a-' || aln_id AS aln_id, row_no, name, gapped FROM rows_ UNION ALL SELECT 'b-' || aln_id, row_no, name, replace(gapped, '-', '') FROM rows_""")
+@query(f"WITH {I.ROWS_B} SELECT 'a-' || aln_id AS aln_id, row_no, name, gapped FROM rows_ UNION ALL SELECT 'b-' || aln_id, row_no, name, gapped FROM rows_b")
 def u1_append(spark, sf_dir):
     return X.append(I.rows(spark, sf_dir), I.rows_b(spark, sf_dir))
 

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from alignlake.scratch import numbered
+from alignlake.sources.lines import carried, line_end, ordered_lines
 from alignlake.sources.text import read_fasta
 
 
@@ -21,15 +22,17 @@ def faults(rows: DataFrame) -> DataFrame:
 
 
 def read_maf(spark: SparkSession, path: str) -> DataFrame:
-    """``s`` rows of each ``a`` block with the block's tags; other lines are left out."""
-    blocks = spark.read.text(path, lineSep="\n\n").where(r"value rlike '(?m)^a(\\s|$)'").withColumn("block", F.sha2("value", 256))
+    """``s`` rows of each ``a`` block, numbered, with the block's tags and the row's ``q`` qualities (null without); other lines are left out."""
+    blocks = numbered(spark.read.text(path, lineSep=line_end(spark, path) * 2).select(F.replace("value", F.lit("\r"), F.lit("")).alias("value")), "block").where(r"value rlike '(?m)^a(\\s|$)'")
     tags = F.str_to_map(F.trim(F.regexp_extract("value", r"(?m)^a[ \t]*(.*)$", 1)), F.lit(r"\s+"), F.lit("="))
-    lines = blocks.select("block", tags.alias("tags"), F.posexplode(F.split("value", "\n")).alias("line", "text")).where("text like 's %' or text like 's\t%'")
+    lines = blocks.select("block", tags.alias("tags"), F.posexplode(F.split("value", "\n")).alias("line", "text")).where(r"text rlike '^[sq]\\s'")
     f = lines.select("block", "tags", "line", F.split("text", r"\s+").alias("f"))
+    quality = f.where("f[0] = 'q'").select("block", F.col("f")[1].alias("name"), F.col("f")[2].alias("quality"))
     number = lambda i: F.col("f")[i].try_cast("long")
-    return f.select(
+    rows = f.where("f[0] = 's'").select(
         "block", "tags", "line", F.col("f")[1].alias("name"), number(2).alias("start"), number(3).alias("size"), F.col("f")[4].alias("strand"), number(5).alias("src_size"), F.col("f")[6].alias("gapped"),
     )
+    return rows.join(quality, ["block", "name"], "left")
 
 
 def read_folds(spark: SparkSession, path: str) -> DataFrame:
@@ -39,20 +42,16 @@ def read_folds(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """Body lines with the fields of the header line before them, within each file."""
-    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("line_no", "text"))
-    head = F.when(F.col("text").startswith("<log "), F.col("text"))
-    last = F.last(head, ignorenulls=True).over(W.partitionBy("file").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0))
-    body = text.withColumn("head", last).where("head is not null and text != '' and not startswith(text, '<log ')")
+    """Body lines with the fields of the header line before them, within each file; ``at`` orders them."""
+    lines = ordered_lines(spark, path).withColumnRenamed("value", "text")
+    body = carried(lines.withColumn("mark", F.when(F.col("text").startswith("<log "), F.col("text"))), "mark", "head")
+    body = body.where("head is not null and text != '' and mark is null")
     field = lambda name: F.regexp_extract("head", rf"\b{name}=['\"]?([^'\"\s>]*)", 1)
-    return body.select("file", "line_no", field("date").alias("date"), field("time").alias("time"), field("file").alias("src_file"), field("line").try_cast("int").alias("src_line"), field("level").try_cast("int").alias("level"), "text")
-
-
-def write_stockholm(rows: DataFrame, path: str) -> None:
-    """One record an alignment: its id, its rows in order, ``//``."""
-    lines = F.transform(F.sort_array(F.collect_list(F.struct("row_no", "name", "gapped"))), lambda r: F.concat(r["name"], F.lit(" "), r["gapped"]))
-    each = rows.groupBy("aln_id").agg(F.array_join(lines, "\n").alias("body"))
-    each.select(F.concat(F.lit("# STOCKHOLM 1.0\n#=GF ID "), "aln_id", F.lit("\n"), "body", F.lit("\n//")).alias("value")).write.text(path)
+    tags = F.filter(F.split(F.regexp_extract("head", r"\btags=['\"]?([^'\">]*)", 1), r"[\s,]+"), lambda t: t != "")
+    return body.select(
+        "file", "split", "at", field("date").alias("date"), field("time").alias("time"), field("file").alias("src_file"), field("line").try_cast("int").alias("src_line"),
+        field("level").try_cast("int").alias("level"), tags.alias("tags"), "text",
+    )
 
 
 def write_wig(track: DataFrame, path: str) -> None:

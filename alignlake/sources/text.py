@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """``(seq_id, descr, seq)``: ``>name descr`` headers, white space inside residues removed."""
-    record = F.regexp_replace("value", "^>", "")
+    record = F.regexp_replace(F.replace("value", F.lit("\r"), F.lit("")), "^>", "")
     head, body = F.regexp_extract(record, r"^([^\n]*)", 1), F.regexp_replace(record, r"^[^\n]*", "")
     parts = spark.read.text(path, lineSep="\n>").where("trim(value) != ''")
     return parts.select(F.regexp_extract(head, r"^(\S+)", 1).alias("seq_id"), F.regexp_extract(head, r"^\S+\s+(.*?)\s*$", 1).alias("descr"), F.regexp_replace(body, r"\s", "").alias("seq"))
@@ -22,18 +21,6 @@ def write_fasta(sequences: DataFrame, path: str, width: int = 50) -> None:
     sequences.select(F.concat(head, F.lit("\n"), wrapped).alias("value")).write.text(path)
 
 
-def read_stockholm(spark: SparkSession, path: str) -> DataFrame:
-    """``(aln_id, row_no, name, gapped)`` of an alignment database; wrapped rows are joined.  An alignment's
-    id is its ``#=GF ID`` or ``AC``, else a digest of its text."""
-    parts = spark.read.text(path, lineSep="\n//\n").where("trim(value) != ''")
-    tag = F.regexp_extract("value", r"(?m)^#=GF +(?:ID|AC) +(\S+)", 1)
-    lines = parts.select(F.when(tag != "", tag).otherwise(F.sha2("value", 256)).alias("aln_id"), F.posexplode(F.split("value", "\n")).alias("line", "text"))
-    rows = lines.where("text rlike '^[^#/\\\\s]\\\\S*\\\\s+\\\\S'").select("aln_id", "line", F.split(F.trim("text"), r"\s+").alias("f"))
-    each = rows.groupBy("aln_id", F.col("f")[0].alias("name")).agg(F.min("line").alias("at"), F.sort_array(F.collect_list(F.struct("line", F.col("f")[1].alias("chunk")))).alias("chunks"))
-    number = (F.row_number().over(W.partitionBy("aln_id").orderBy("at")) - 1).alias("row_no")
-    return each.select("aln_id", number, "name", F.array_join(F.col("chunks.chunk"), "").alias("gapped"))
-
-
 def _unescape(c: Column) -> Column:
     for code, ch in (("%2C", ","), ("%3D", "="), ("%3B", ";")):
         c = F.replace(c, F.lit(code), F.lit(ch))

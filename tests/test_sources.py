@@ -12,12 +12,6 @@ def test_fasta(spark, tmp_path):
     assert sorted(map(tuple, text.read_fasta(spark, str(tmp_path / "out")).collect())) == want
 
 
-def test_stockholm_rows_are_joined(spark, tmp_path):
-    (tmp_path / "a.stk").write_text("# STOCKHOLM 1.0\n#=GF ID fam\ns1 AC-\ns2 A-C\n\ns1 GT\ns2 --\n//\n# STOCKHOLM 1.0\n#=GF AC two\nx a.\n//\n")
-    got = sorted(map(tuple, text.read_stockholm(spark, str(tmp_path / "a.stk")).collect()))
-    assert got == [("fam", 0, "s1", "AC-GT"), ("fam", 1, "s2", "A-C--"), ("two", 0, "x", "a.")]
-
-
 def test_gff(spark, tmp_path):
     (tmp_path / "a.gff").write_text("##gff\nc\tsrc\tgene\t1\t9\t.\t?\tx\tID=g%3B1;Parent=p,q\nbad line\n")
     got = text.read_gff(spark, str(tmp_path / "a.gff"))
