@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from alignlake.scratch import materialise, numbered
 
+
 def letters(sequences: DataFrame) -> DataFrame:
     """``(seq_id, pos, ch)``, one record for each residue."""
     return sequences.select("seq_id", F.posexplode(F.filter(F.split("seq", ""), lambda c: c != "")).alias("pos", "ch"))

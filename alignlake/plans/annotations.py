@@ -11,7 +11,7 @@ from alignlake.operators import annotate as N
 from alignlake.operators import sequences as S
 from alignlake.operators import trees as T
 from alignlake.plans import inputs as I
-from alignlake.plans.sequences import _PAIRS, _marks, _tree
+from alignlake.plans.sequences import _tree
 from alignlake.plans.windows import _LCA, _pairs
 
 QUERIES, ORACLES = {}, {}
@@ -50,9 +50,20 @@ def a18_compare_structures(spark, sf_dir):
     return N.compare_structures(_bp(spark, sf_dir), 0, 1)
 
 
-@query(f"{_BP} SELECT aln_id, lcol, rcol FROM bp JOIN nr USING (aln_id) GROUP BY aln_id, lcol, rcol, n_rows HAVING count(*) = n_rows")
+_DENSE = f"""WITH {I.CELLS}, first_ AS (SELECT * FROM cells WHERE row_no < 2), marks AS (SELECT aln_id, row_no, col, CASE WHEN ch < 'n' THEN '<' ELSE '>' END AS ch FROM first_ WHERE NOT is_gap),
+{_reread("marks", "aln_id, row_no", "bp")}, nr AS (SELECT aln_id, count(DISTINCT row_no) AS n_rows FROM first_ GROUP BY aln_id)"""
+
+
+def _dense(spark, sf_dir):
+    """The first two rows of each alignment, every residue a bracket: a-m open, n-z close."""
+    cells = I.cells(spark, sf_dir).where("row_no < 2")
+    return cells.withColumn("ch", F.when(F.col("is_gap"), F.col("ch")).when(F.col("ch") < "n", "<").otherwise(">"))
+
+
+@query(f"{_DENSE} SELECT aln_id, lcol, rcol FROM bp JOIN nr USING (aln_id) GROUP BY aln_id, lcol, rcol, n_rows HAVING count(*) = n_rows")
 def a19_conservative_structure(spark, sf_dir):
-    return N.conservative_structure(_bp(spark, sf_dir), I.cells(spark, sf_dir))
+    cells = _dense(spark, sf_dir)
+    return N.conservative_structure(N.row_pairs(cells, "<", ">"), cells)
 
 
 @query(f"{_BP}, {_CONFLICT} SELECT * FROM bad")
@@ -107,11 +118,19 @@ def w15_mini_slices(spark, sf_dir):
     return N.mini_slices(_cols(spark, sf_dir), 10)
 
 
-@query(f"""WITH {_PAIRS}, f AS (SELECT *, CASE WHEN lag(lcol) OVER o = lcol - 1 AND lag(rcol) OVER o = rcol + 1 THEN 0 ELSE 1 END AS new FROM p WINDOW o AS (PARTITION BY id ORDER BY lcol)),
-r AS (SELECT *, sum(new) OVER (PARTITION BY id ORDER BY lcol) AS stem FROM f)
-SELECT id, min(lcol) AS l0, max(lcol) AS l1, min(rcol) AS r0, max(rcol) AS r1, count(*) AS n FROM r GROUP BY id, stem HAVING count(*) > 1""")
+@query(f"""{_DENSE}, f AS (SELECT *, CASE WHEN lag(lcol) OVER o = lcol - 1 AND lag(rcol) OVER o = rcol + 1 THEN 0 ELSE 1 END AS new FROM bp WINDOW o AS (PARTITION BY aln_id, row_no ORDER BY lcol)),
+r AS (SELECT *, sum(new) OVER (PARTITION BY aln_id, row_no ORDER BY lcol) AS stem FROM f)
+SELECT aln_id || '/' || row_no AS id, min(lcol) AS l0, max(lcol) AS l1, min(rcol) AS r0, max(rcol) AS r1, count(*) AS n FROM r GROUP BY aln_id, row_no, stem HAVING count(*) > 1""")
 def w7_stems(spark, sf_dir):
-    return S.stems(S.bracket_pairs(_marks(spark, sf_dir)))
+    pairs = N.row_pairs(_dense(spark, sf_dir), "<", ">")
+    return S.stems(pairs.select(F.concat_ws("/", "aln_id", "row_no").alias("id"), "lcol", "rcol"))
+
+
+@query(f"""{_DENSE}, d AS (SELECT *, sum(CASE WHEN ch = '<' THEN 1 ELSE -1 END) OVER (PARTITION BY aln_id, row_no ORDER BY col) AS after FROM marks)
+SELECT aln_id || '/' || row_no AS id, min(after)::BIGINT AS lowest, arg_max(after, col)::BIGINT AS final FROM d GROUP BY aln_id, row_no HAVING min(after) < 0 OR arg_max(after, col) <> 0""")
+def v5_check_brackets(spark, sf_dir):
+    cells = _dense(spark, sf_dir).where("not is_gap")
+    return S.check_brackets(cells.select(F.concat_ws("/", "aln_id", "row_no").alias("id"), "col", "ch"))
 
 
 @query(f"WITH {I.ROWS} SELECT * FROM rows_ WHERE substr(md5(aln_id || 'x'), 1, 8) < '40000000'")

@@ -91,11 +91,6 @@ def w6_bracket_pairs(spark, sf_dir):
     return S.bracket_pairs(_marks(spark, sf_dir))
 
 
-@query(f"WITH {_MARKS} SELECT id, min(after)::BIGINT AS lowest, arg_max(after, col)::BIGINT AS final FROM d0 GROUP BY id HAVING min(after) < 0 OR arg_max(after, col) <> 0")
-def v5_check_brackets(spark, sf_dir):
-    return S.check_brackets(_marks(spark, sf_dir))
-
-
 @query("""WITH t AS (SELECT user_id AS seq_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, value FROM events),
 h AS (SELECT *, pos - row_number() OVER (PARTITION BY seq_id ORDER BY pos) AS island FROM t WHERE value >= 50)
 SELECT seq_id, min(pos) + 1 AS start, max(pos) + 1 AS "end", round(sum(value), 6) AS score FROM h GROUP BY seq_id, island""")

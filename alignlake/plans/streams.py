@@ -16,15 +16,17 @@ def _events(spark, sf_dir):
 
 
 def r2_level_counts(spark, sf_dir):
-    return jobs.drain(jobs.level_counts(_events(spark, sf_dir).select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("level"))))
+    return jobs.drain(jobs.level_counts(_events(spark, sf_dir).select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("level"))), ("start", "level"))
 
 
 def r3_trace_monitor(spark, sf_dir):
-    return jobs.drain(jobs.trace_monitor(_events(spark, sf_dir).select(F.col("user_id").alias("trace"), F.col("value").alias("score")), 50.0))
+    samples = _events(spark, sf_dir).select((F.col("user_id") % 20).alias("trace"), F.col("event_id").alias("sample_no"), F.col("value").alias("score"))
+    return jobs.verdicts(jobs.drain(jobs.window_means(samples, 200), ("trace", "part")), 50.0, 1)
 
 
 QUERIES |= {"r2_level_counts": r2_level_counts, "r3_trace_monitor": r3_trace_monitor}
 ORACLES |= {
     "r2_level_counts": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type AS level, count(*) AS n FROM events GROUP BY ALL",
-    "r3_trace_monitor": "SELECT user_id AS trace, count(value) AS n, round(avg(value), 6) AS mean, round(avg(value), 6) >= 50 AS stop FROM events GROUP BY user_id",
+    "r3_trace_monitor": """WITH m AS (SELECT user_id % 20 AS trace, event_id // 200 AS part, count(value) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL),
+l AS (SELECT *, (sum(CASE WHEN mean < 50 THEN 1 ELSE 0 END) OVER (PARTITION BY trace ORDER BY part))::BIGINT AS low FROM m) SELECT *, low > 1 AS stop FROM l""",
 }

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from alignlake.scratch import scratch_dir
+
 
 def read_alignments(spark: SparkSession, folder: str) -> DataFrame:
     """Alignment files as they arrive: ``(aln_id, n_rows, n_columns, gap_share)`` of each record, without state."""
@@ -25,24 +25,35 @@ def level_counts(lines: DataFrame, width: str = "1 hour", late: str = "1 day") -
     return counts.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("start"), "level", "n")
 
 
-def trace_monitor(samples: DataFrame, goal: float) -> DataFrame:
-    """``(trace, score)`` -> running count and mean of each trace's scores, and whether the mean has reached ``goal``."""
-    means = samples.groupBy("trace").agg(F.count("score").alias("n"), F.round(F.avg("score"), 6).alias("mean"))
-    return means.withColumn("stop", F.col("mean") >= goal)
+def window_means(samples: DataFrame, size: int) -> DataFrame:
+    """``(trace, sample_no, score)`` -> running count and mean of each window of ``size`` samples of each trace."""
+    part = F.expr(f"sample_no div {int(size)}").alias("part")
+    return samples.groupBy("trace", part).agg(F.count("score").alias("n"), F.round(F.avg("score"), 6).alias("mean"))
+
 
+def verdicts(means: DataFrame, goal: float, forgive: int) -> DataFrame:
+    """Windows below ``goal`` so far, and whether the trace stops there: more than ``forgive`` of them."""
+    order = W.partitionBy("trace").orderBy("part").rowsBetween(W.unboundedPreceding, 0)
+    low = F.sum(F.when(F.col("mean") < goal, 1).otherwise(0)).over(order)
+    return means.withColumn("low", low).withColumn("stop", F.col("low") > forgive)
 
-def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
+
+def drain(stream: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Run a stream over all that has arrived and read its result table.
 
-    The table and the stream's own state lie below ``spark.checkpoint.dir``; in complete mode each
-    batch's table replaces the one before, in append mode its rows are added.
+    The table and the stream's own state lie in a scratch folder below ``spark.checkpoint.dir``.  Without ``keys``
+    rows are added.  With them each batch hands on the rows that it changed, and the newest row of a key counts;
+    state that a watermark has passed is dropped, its rows stay in the table.
     """
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    folder = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    if mode == "append":
-        sink = stream.writeStream.format("parquet").option("path", f"{folder}/table")
+    folder = scratch_dir(spark)
+    if keys:
+        sink = stream.writeStream.foreachBatch(lambda batch, i: batch.write.mode("overwrite").parquet(f"{folder}/table/batch={i}"))
     else:
-        sink = stream.writeStream.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/table"))
-    sink.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/table")
+        sink = stream.writeStream.format("parquet").option("path", f"{folder}/table")
+    sink.outputMode("update" if keys else "append").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    if not keys:
+        return spark.read.schema(stream.schema).parquet(f"{folder}/table")
+    rows = spark.read.schema(stream.schema.add("batch", "long")).parquet(f"{folder}/table")
+    newest = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("batch")))
+    return rows.withColumn("place", newest).where("place = 1").drop("batch", "place")

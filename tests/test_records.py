@@ -39,5 +39,5 @@ def test_tracks_and_tab_rows(spark, tmp_path):
 def test_alignment_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.stk").write_text(STK)
-    got = jobs.drain(jobs.read_alignments(spark, str(tmp_path / "in")), "append")
+    got = jobs.drain(jobs.read_alignments(spark, str(tmp_path / "in")))
     assert sorted(map(tuple, got.collect())) == [("fam", 2, 5, 0.4), ("two", 1, 2, 0.5)]
