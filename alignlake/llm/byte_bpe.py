@@ -134,11 +134,11 @@ def codec(path: str, pattern: str) -> Codec:
 
 
 def encode_ids(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
-    """``docs(doc_id, text)`` -> ``(doc_id, ids array<int>)``; a null text gives no ids."""
+    """``docs(doc_id, text)`` -> ``(doc_id, ids array<int>)``; a null text gives no ids, bytes that aren't UTF-8 count as U+FFFD."""
 
     def each(keys: list, texts: list) -> dict[str, list]:
         c = codec(ranks, pattern)
-        return {"doc_id": keys, "ids": [np.frombuffer(c.encode((t or b"").decode()), "<i4").tolist() for t in texts]}
+        return {"doc_id": keys, "ids": [np.frombuffer(c.encode((t or b"").decode("utf-8", "replace")), "<i4").tolist() for t in texts]}
 
     return map_texts(docs, each, "doc_id long, ids array<int>")
 
@@ -147,12 +147,13 @@ def round_trip(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     """Encode every whole text, decode the ids again and digest both.
 
     One row for each input row: ``(doc_id, n_tokens, ids_sha256, decoded_sha256)``.  Null and empty
-    texts have no tokens and the digests of nothing.
+    texts have no tokens and the digests of nothing; bytes that aren't UTF-8 count as U+FFFD; repeated
+    rows give repeated rows; an empty table gives none.
     """
 
     def each(keys: list, texts: list) -> dict[str, list]:
         c = codec(ranks, pattern)
-        ids = [c.encode((t or b"").decode()) for t in texts]
+        ids = [c.encode((t or b"").decode("utf-8", "replace")) for t in texts]
         return {
             "doc_id": keys,
             "n_tokens": [len(i) // 4 for i in ids],

@@ -1,11 +1,7 @@
-"""Small helpers shared by the operators: scratch tables and batches of texts."""
+"""Small helpers shared by the operators: batches of texts and the tables they come from."""
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import time
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -16,52 +12,11 @@ from pyspark.sql import functions as F
 TEXT_ROWS = 512
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
-
-    Only where the setting is missing on a local master (tests) is a temporary folder made.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/alignlake-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write to a scratch table and read it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_dir(spark)
-    write(df, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def write(df: DataFrame, path: str, *partition_by: str) -> None:
-    """Write a scratch table, then let the shuffles of the steps behind it go."""
-    df.write.partitionBy(*partition_by).option("compression", "zstd").parquet(path)
-    for _ in range(2):  # the first round frees what the second can see as unused
-        gc.collect()
-        df.sparkSession._jvm.System.gc()
-        time.sleep(0.2)
-
-
-def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_row``, a number for each row.  ``docs`` must be a stable read, such as a table:
-    rows are numbered by their place in it, alike each time."""
-    return docs.withColumn("_row", F.monotonically_increasing_id())
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a scratch folder that nothing reads any more."""
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+    """Lower the session's Arrow batches to ``TEXT_ROWS`` rows; results are computed later, so the setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= TEXT_ROWS:
+        spark.conf.set(key, str(TEXT_ROWS))
 
 
 def map_texts(
