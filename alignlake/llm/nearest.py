@@ -10,20 +10,22 @@ surely have shown up by now.  A visit hands back only vectors that the rounds be
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alignlake.llm.common import materialise, small_batches
+from alignlake.llm.common import small_batches
+from alignlake.scratch import materialise, numbered
 
 DIMS = 8
 SEED = 42
 #: Vectors the tree is fitted to, at most; cells, at most; vectors wanted in a cell.
 SAMPLE, MOST_CELLS, CELL_ROWS = 20_000, 4096, 512
-#: Vectors of a cell that are held at once.
-BLOCK_ROWS = 4096
+#: Vectors of a cell, and queries that visit it, that meet in one group.
+BLOCK_ROWS, QUERY_ROWS = 4096, 4096
 #: Confidence of the stopping test.
 CONFIDENCE = 0.95
 #: Cells that a query visits in its first round, and how many times more in each round after it.
@@ -93,38 +95,41 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """``(vec_id, v array<double>)`` of the vectors that take part: an id, not null or zero, all components
-    finite, and of the table's most common length (the longer of two as common)."""
+    """``(vec_id, v array<double>)`` of the rows that take part: an id, a vector not null or zero, all components finite."""
     v = F.col("embedding").cast("array<double>")
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    rows = vectors.select(F.col("vec_id").cast("long"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & fine)
-    top = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
-    return rows.where(F.size("v") == (top["d"] if top else 0))
+    return vectors.select(F.col("vec_id").cast("long"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & fine)
 
 
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
-    """The ``k`` vectors of largest inner product for each vector whose id is divisible by ``every``.
+    """The ``k`` vectors of largest inner product for each row whose vec_id is divisible by ``every``.
 
     ``vectors(vec_id, embedding)`` -> ``(query_id, rank from 1, vec_id, score)``, ties to the smaller
     vec_id, the query's own row left out; fewer than ``k`` only where fewer take part (see ``usable``).
-    Equal vectors are searched once and spelled out at the end, so a vector with many copies costs no
-    more than another.  Repeated vec_ids count once each.  Empty tables give no rows.
+    Every row counts: rows of one vec_id are candidates of each other, and each of them asks.  Vectors
+    of different lengths have no inner product, so each length is searched by itself.  Equal vectors are
+    searched once and spelled out at the end, so a vector with many copies costs no more than another.
+    Empty tables give no rows.
     """
-    spark = vectors.sparkSession
-    small_batches(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
-    rows = materialise(usable(vectors).dropDuplicates(["vec_id", "v"]))
-    schema = "query_id long, rank int, vec_id long, score double"
-    facts = rows.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)), F.max(F.size("v"))).first()
-    total, square, width = facts
-    if not total:
-        return spark.createDataFrame([], schema)
-    first = rows.withColumn("place", F.expr("row_number() over (partition by v order by vec_id)")).where(f"place <= {k + 1}")
-    first = first.withColumn("rep", F.expr("first_value(vec_id) over (partition by v order by vec_id)"))
-    members = materialise(first.select("rep", "vec_id", "v"))
-    distinct = members.where("vec_id = rep").select("rep", "v")
-    asked = rows.where(f"vec_id % {every} = 0").select("vec_id", "v")
-    queries = asked.groupBy("v").agg(F.min("vec_id").alias("rep"))
+    small_batches(vectors.sparkSession)
+    rows = numbered(usable(vectors))
+    widths = sorted(r[0] for r in rows.select(F.size("v")).distinct().collect())  # a table has few lengths
+    found = [_nearest(rows.where(F.size("v") == w), k, every, w) for w in widths]
+    if not found:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return reduce(DataFrame.unionByName, found)
+
+
+def _nearest(rows: DataFrame, k: int, every: int, width: int) -> DataFrame:
+    """As ``nearest`` for ``rows(_row, vec_id, v)`` whose vectors have ``width`` components."""
+    total, square = rows.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()
+    first = rows.withColumn("place", F.expr("row_number() over (partition by v order by vec_id, _row)")).where(f"place <= {k + 1}")
+    first = first.withColumn("rep", F.expr("first_value(_row) over (partition by v order by vec_id, _row)"))
+    first = first.withColumn("least", F.expr("first_value(vec_id) over (partition by v order by vec_id, _row)"))
+    members = materialise(first.select("rep", "least", "_row", "vec_id", "v"))
+    distinct = members.where("_row = rep").select("rep", "least", "v")
+    asked = rows.where(f"vec_id % {every} = 0").select(F.col("_row").alias("asker"), F.col("vec_id").alias("query_id"), "v")
+    queries = materialise(asked.groupBy("v").agg(F.min("asker").alias("rep")))
 
     matrix = np.random.default_rng(SEED).standard_normal((width + 1, DIMS))
 
@@ -132,17 +137,17 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
         last = np.sqrt(np.maximum(square - (v * v).sum(1), 0)) if lift else np.zeros(len(v))
         return np.column_stack([v, last]) @ matrix
 
-    sample = distinct.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("v").toArrow()["v"].combine_chunks()
+    sample = distinct.orderBy(F.xxhash64("least"), "least", "rep").limit(SAMPLE).select("v").toArrow()["v"].combine_chunks()
     nodes = build_tree(project(_matrix(sample), True), int(min(MOST_CELLS, max(1, total // CELL_ROWS))))
     n_cells = len(nodes) + 1
 
     def cells(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             if part.num_rows:
-                y = project(_matrix(part.column(1)), True)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(locate(nodes, y)), pa.array(list(y))], names=["rep", "v", "cell", "y"])
+                y = project(_matrix(part.column(2)), True)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(locate(nodes, y)), pa.array(list(y))], names=["rep", "least", "v", "cell", "y"])
 
-    placed = materialise(distinct.mapInArrow(cells, "rep long, v array<double>, cell long, y array<double>"))
+    placed = materialise(distinct.mapInArrow(cells, "rep long, least long, v array<double>, cell long, y array<double>"))
     ends = [f(F.col("y")[i]).alias(f"{n}{i}") for n, f in (("a", F.min), ("b", F.max)) for i in range(DIMS)]
     boxes = placed.groupBy("cell").agg(F.count("*").alias("n"), *ends).collect()  # at most MOST_CELLS rows
     low, high = np.full((n_cells, DIMS), np.inf), np.full((n_cells, DIMS), np.inf)
@@ -153,7 +158,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     reach = chi_square_quantile(CONFIDENCE)
     share = np.maximum(blocks, 1).tolist()
     spread = F.pmod(F.xxhash64("rep"), F.get(F.array(*map(F.lit, share)), F.col("cell").cast("int")))
-    held = materialise(placed.select("rep", "v", "cell", spread.alias("block")))
+    held = materialise(placed.select("rep", "least", "v", "cell", spread.alias("block")))
 
     def plan(skip: int, most: int):
         def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,25 +175,20 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
                     true = (v[i] @ v[i]) + square - 2 * worst[i] if worst[i] == worst[i] else np.inf
                     order = order[skip : skip + most]
                     order = order[(bound[order] <= reach * true) & np.isfinite(bound[order])]
-                    for c in order.tolist():
-                        who += [i] * int(blocks[c])
-                        where += [(c, b) for b in range(int(blocks[c]))]
+                    who += [i] * len(order)
+                    where += order.tolist()
                 take = part.take(pa.array(who, pa.int64())) if who else part.slice(0, 0)
-                yield pa.RecordBatch.from_arrays(
-                    [take.column(0), take.column(1), take.column(2), pa.array([c for c, _ in where], pa.int64()), pa.array([b for _, b in where], pa.int64())],
-                    names=["query", "q", "worst", "cell", "block"],
-                )
+                yield pa.RecordBatch.from_arrays([*take.columns, pa.array(where, pa.int64())], names=["query", "q", "worst", "cell"])
 
         return run
 
     def verify(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], []]
+        out: list[list] = [[], [], [], []]
         if left.num_rows and right.num_rows:
-            ids, v = right["rep"].to_numpy(), _matrix(right["v"].combine_chunks())
+            order = np.lexsort((right["rep"].to_numpy(), right["least"].to_numpy()))
+            ids, ties, v = right["rep"].to_numpy()[order], right["least"].to_numpy()[order], _matrix(right["v"].combine_chunks())[order]
             asks, q = left["query"].to_numpy(), _matrix(left["q"].combine_chunks())
             least = np.nan_to_num(left["worst"].to_numpy(), nan=-np.inf)  # nothing under it can be among the nearest
-            order = np.argsort(ids)
-            ids, v = ids[order], v[order]
             for s in range(0, len(asks), 256):
                 scores = q[s : s + 256] @ v.T
                 best = np.argsort(-scores, axis=1, kind="stable")[:, : k + 1]
@@ -196,23 +196,37 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
                 good = top >= least[s : s + 256, None]
                 out[0].append(np.repeat(asks[s : s + 256], good.sum(1)))
                 out[1].append(ids[best][good])
-                out[2].append(top[good])
-        cols = [np.concatenate(x) if x else np.empty(0, t) for x, t in zip(out, (np.int64, np.int64, np.float64), strict=True)]
-        return pa.table(dict(zip(("query", "rep", "score"), map(pa.array, cols), strict=True)))
+                out[2].append(ties[best][good])
+                out[3].append(top[good])
+        cols = [np.concatenate(x) if x else np.empty(0, t) for x, t in zip(out, (np.int64, np.int64, np.int64, np.float64), strict=True)]
+        return pa.table(dict(zip(("query", "rep", "least", "score"), map(pa.array, cols), strict=True)))
+
+    def visit(state: DataFrame, skip: int, most: int) -> DataFrame:
+        """What the queries find in the next cells: blocks of queries meet blocks of a cell's vectors, so neither side of a group grows."""
+        visits = materialise(state.mapInArrow(plan(skip, most), "query long, q array<double>, worst double, cell long"))
+        deal = np.ones(n_cells, np.int64)
+        for r in visits.groupBy("cell").agg(F.count("*").alias("n")).collect():  # at most MOST_CELLS rows
+            deal[r["cell"]] = -(-r["n"] // QUERY_ROWS)
+        of = lambda table: F.get(F.array(*map(F.lit, table.tolist())), F.col("cell").cast("int"))
+        part = F.pmod(F.xxhash64("query"), of(deal)).alias("part")
+        block = F.explode(F.sequence(F.lit(0).cast("long"), of(blocks) - 1)).alias("block")
+        left = visits.select("query", "q", "worst", "cell", part, block)
+        right = held.select("rep", "least", "v", "cell", "block", F.explode(F.sequence(F.lit(0).cast("long"), of(deal) - 1)).alias("part"))
+        keys = ("cell", "block", "part")
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(verify, "query long, rep long, least long, score double")
 
     found = None
     state = queries.select("rep", "v", F.lit(float("nan")).alias("worst"))
     skip, most = 0, FIRST_VISITS
     while skip < n_cells:
-        visits = state.mapInArrow(plan(skip, most), "query long, q array<double>, worst double, cell long, block long")
-        hits = visits.groupBy("cell", "block").cogroup(held.groupBy("cell", "block")).applyInArrow(verify, "query long, rep long, score double")
+        hits = visit(state, skip, most)
         found = hits if found is None else found.unionByName(hits)
-        found = found.withColumn("place", F.expr("row_number() over (partition by query order by score desc, rep)")).where(f"place <= {k + 1}").drop("place")
+        found = found.withColumn("place", F.expr("row_number() over (partition by query order by score desc, least, rep)")).where(f"place <= {k + 1}").drop("place")
         found = materialise(found)
         worst = found.groupBy("query").agg(F.when(F.count("*") > k, F.min("score")).otherwise(F.lit(float("nan"))).alias("worst"))
         state = queries.join(worst, queries["rep"] == worst["query"], "left").select("rep", "v", F.coalesce("worst", F.lit(float("nan"))).alias("worst"))
         skip, most = skip + most, MORE * most
-    alike = asked.join(queries.withColumnRenamed("rep", "query"), "v").select("query", F.col("vec_id").alias("query_id"))
-    each = alike.join(found, "query").join(members.select("rep", "vec_id"), "rep").where("query_id != vec_id")
-    ranked = each.withColumn("rank", F.expr("row_number() over (partition by query_id order by score desc, vec_id)"))
+    alike = asked.join(queries.withColumnRenamed("rep", "query"), "v").select("query", "asker", "query_id")
+    each = alike.join(found.select("query", "rep", "score"), "query").join(members.select("rep", "_row", "vec_id"), "rep").where("asker != _row")
+    ranked = each.withColumn("rank", F.expr("row_number() over (partition by asker order by score desc, vec_id, _row)"))
     return ranked.where(f"rank <= {k}").select("query_id", "rank", "vec_id", "score")
