@@ -7,8 +7,10 @@ compiled when first reached and kept in a bounded table.
 
 White space returns the machine to its start state from anywhere.  So the map of a chunk of text,
 from entry state to (exit state, emitted tokens), is constant after its first white space and is
-held as ``(head, tokens, tail)``: the bytes before the first and after the last white space still
-depend on the neighbours.  Such maps compose associatively.
+held as ``(head, tokens, tail)``: the text before the first and after the last white space still
+depends on the neighbours.  Such maps compose associatively.  Short texts are one chunk and counted
+where they are; the chunks of long ones are dealt to all tasks, and a prefix scan composes their maps.
+Chunks are cut behind white space where there is some, so that heads and tails stay short.
 """
 
 from __future__ import annotations
@@ -26,9 +28,11 @@ from alignlake.llm.bpe import Merges, byte_letters, read_json
 from alignlake.llm.common import small_batches
 
 #: Code points of a chunk; longer texts are counted chunk by chunk.
-CHUNK = 1 << 16
+CHUNK = 1 << 14
 WORDS = regex.compile(r"\P{White_Space}+")
 STATES = 150_000
+#: Longest word and piece that a worker remembers.
+LONG = 256
 
 
 class CountTransducer:
@@ -100,7 +104,9 @@ class CountTransducer:
         return total + last
 
     def word(self, word: str) -> int:
-        """Tokens of a stretch without white space."""
+        """Tokens of a stretch without white space; only short ones are remembered."""
+        if len(word) > LONG:
+            return sum(1 if p in self.special else self._plain(p) for p in (self.cut.split(word) if self.cut else [word]) if p)
         got = self.known.get(word)
         if got is None:
             if any(s in word for s in self.special):
@@ -118,7 +124,7 @@ class CountTransducer:
         text = "".join(map(str.lower, text)) if "Σ" in text else text.lower()
         pieces = [text] if text.isalpha() else [text[:-1], text[-1]] if text[:-1].isalpha() and text[-1] in ",." else self.pieces.findall(text)
         counts = self.counts
-        return sum([counts[p] if p in counts else self._count(p) for p in pieces])
+        return sum([counts[p] if p in counts else self._count(p) if len(p) <= LONG else self.piece(p.encode()) for p in pieces])
 
     def _count(self, piece: str) -> int:
         if len(self.counts) > 2 * STATES:
@@ -165,34 +171,53 @@ def transducer(path: str) -> CountTransducer:
     return CountTransducer(path)
 
 
-_MAPS = "row long, doc_id long, chunk int, n_bytes long, head string, tokens long, tail string"
+def slices(text: str, chunk: int) -> Iterator[str]:
+    """``text`` in pieces of about ``chunk`` code points, cut behind white space if the piece has some."""
+    at = 0
+    while at < len(text):
+        end = min(len(text), at + chunk)
+        if end < len(text):
+            space = next((i for i in range(end, max(at, end - 4096), -1) if text[i - 1].isspace()), end)
+            end = space
+        yield text[at:end]
+        at = end
+
+
+def _text(data: bytes | None) -> str:
+    return (data or b"").decode("utf-8", "replace")
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048, chunk: int = CHUNK) -> DataFrame:
     """``docs(doc_id, text)`` -> ``(doc_id, n_bytes, n_tokens, over_limit)``, one row for each input row.
 
-    A null text counts as empty (no bytes, no tokens).  Texts are cut into chunks of ``chunk`` code
-    points inside Spark, so no task needs more than a chunk and the maps of a text at once; repeated
-    doc_ids are counted apart.
+    A null text counts as empty (no bytes, no tokens); bytes that aren't UTF-8 count as U+FFFD.  Texts of more
+    than ``chunk`` code points are counted chunk by chunk, the chunks of one text by many tasks; repeated rows
+    are counted apart; an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text.alias("text"))
-    at = F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.char_length("text") / chunk) - 1, F.lit(0)).cast("int")))
-    cut = rows.select("row", "doc_id", "text", at.alias("chunk"))
-    body = F.when(F.char_length("text") <= chunk, F.col("text")).otherwise(F.substring("text", F.col("chunk") * chunk + 1, F.lit(chunk)))
-    cut = cut.select("row", "doc_id", "chunk", body.alias("body"))
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    long = F.octet_length("text") > 4 * chunk  # so its code points may be too many; null texts are short
+
+    def short(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = transducer(vocabulary)
+        for part in parts:
+            texts = part.column(1).to_pylist()
+            counts = [machine.total(machine.chunk_map(_text(t))) for t in texts]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t or b"") for t in texts], pa.int64()), pa.array(counts, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+
+    def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for row, doc, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                for i, piece in enumerate(slices(_text(text), chunk)):
+                    columns = ([row], [doc], [len(text)], [i], [piece])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string()), strict=True)], names=["row", "doc_id", "n_bytes", "chunk", "body"])
 
     def maps(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(vocabulary)
         for part in parts:
-            texts = part.column(3).to_pylist()
-            m = [machine.chunk_map(t) for t in texts]
-            sizes = [len(t.encode()) for t in texts]
-            tokens = pa.array([None if x[1] is None else x[1] for x in m], pa.int64())
-            head, tail = pa.array([x[0] for x in m], pa.string()), pa.array([x[2] for x in m], pa.string())
-            columns = [part.column(0), part.column(1), part.column(2), pa.array(sizes, pa.int64()), head, tokens, tail]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "chunk", "n_bytes", "head", "tokens", "tail"])
+            m = [machine.chunk_map(t) for t in part.column(4).to_pylist()]
+            kinds = (pa.string(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([*part.columns[:4], *(pa.array([x[i] for x in m], t) for i, t in enumerate(kinds))], names=["row", "doc_id", "n_bytes", "chunk", "head", "tokens", "tail"])
 
     def totals(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(vocabulary)
@@ -203,8 +228,12 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048, chunk: int
                 counts.append(machine.total(scan[-1]))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(counts, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
-    chunks = cut.mapInArrow(maps, _MAPS)
-    ordered = F.sort_array(F.collect_list(F.struct("chunk", "head", "tokens", "tail"))).alias("maps")
-    texts = chunks.groupBy("row", "doc_id").agg(F.sum("n_bytes").alias("n_bytes"), ordered)
-    counted = texts.select("doc_id", "n_bytes", "maps").mapInArrow(totals, "doc_id long, n_bytes long, n_tokens long")
-    return counted.withColumn("over_limit", F.col("n_tokens") > limit)
+    out = "doc_id long, n_bytes long, n_tokens long"
+    numbered = rows.where(long).select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text")
+    pieces = numbered.mapInArrow(cut, "row long, doc_id long, n_bytes long, chunk int, body string").repartition("row", "chunk")
+    chunks = pieces.mapInArrow(maps, "row long, doc_id long, n_bytes long, chunk int, head string, tokens long, tail string")
+    ordered = F.sort_array(F.collect_list(F.struct("chunk", "head", "tokens", "tail"))).alias("maps")  # one small record a chunk
+    texts = chunks.groupBy("row", "doc_id", "n_bytes").agg(ordered)
+    counted = texts.select("doc_id", "n_bytes", "maps").mapInArrow(totals, out)
+    rest = rows.where(~F.coalesce(long, F.lit(False))).select(F.col("doc_id").cast("long"), "text").mapInArrow(short, out)
+    return rest.unionByName(counted).withColumn("over_limit", F.col("n_tokens") > limit)
