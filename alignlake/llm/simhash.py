@@ -11,8 +11,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alignlake.llm.common import map_texts, materialise, numbered, small_batches
+from alignlake.llm.common import map_texts, small_batches
 from alignlake.llm.components import components
+from alignlake.scratch import drop, free_name, materialise, numbered
 
 SEED = 42
 #: Bits of each band; with 5 bands and at most 3 differing bits, two bands at least are equal.
@@ -63,27 +64,31 @@ def pivot_table(fps: np.ndarray, references: np.ndarray) -> np.ndarray:
     return np.stack([np.bitwise_count(fps ^ r) for r in references]).astype(np.int8)
 
 
-def links_in_groups(group: np.ndarray, fps: np.ndarray, max_bits: int, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def links_in_groups(group: np.ndarray, fps: np.ndarray, side: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links (``max_bits`` or fewer differing bits) inside each group.
 
-    Rows of a group stand together.  By the triangle inequality no reference's distances to two
-    linked fingerprints differ by more than ``max_bits``: pairs are discarded by the largest
-    coordinate difference first, survivors are verified.
+    By the triangle inequality no reference's distances to two linked fingerprints differ by more than
+    ``max_bits``.  The rows of a group are sorted by their distance to the first reference, and a row is only
+    paired with those behind it that are near enough there: the table, not the group's size, says how many pairs
+    there are.  Pairs go at the first other coordinate that differs by more; survivors are verified.  Rows of one
+    ``side`` (0 or 1) aren't paired, as another group has them together; side 2 marks groups of their own.
     """
-    n = len(fps)
     table = pivot_table(fps, reference_fingerprints())
+    order = np.lexsort((table[0], group))
+    group, fps_, side, table = group[order], fps[order], side[order], table[:, order]
+    n = len(fps_)
     root = np.arange(n)
     out_a, out_b = [], []
     at, lag = np.arange(n), 1
     while True:
         at = at[at + lag < n]
-        at = at[group[at] == group[at + lag]]
+        at = at[(group[at] == group[at + lag]) & (table[0][at + lag] - table[0][at] <= max_bits)]  # those behind are farther still
         if not len(at):
             break
-        hit = at
-        for row in table:
+        hit = at[(side[at] != side[at + lag]) | (side[at] == 2)]
+        for row in table[1:]:
             hit = hit[np.abs(row[hit] - row[hit + lag]) <= max_bits]
-        hit = hit[np.bitwise_count(fps[hit] ^ fps[hit + lag]) <= max_bits]
+        hit = hit[np.bitwise_count(fps_[hit] ^ fps_[hit + lag]) <= max_bits]
         hit = hit[root[hit] != root[hit + lag]]
         for i in hit.tolist():
             a, b = i, i + lag
@@ -93,8 +98,8 @@ def links_in_groups(group: np.ndarray, fps: np.ndarray, max_bits: int, side: np.
                 b = root[b]
             if a != b:
                 root[max(a, b)] = min(a, b)
-                out_a.append(i)
-                out_b.append(i + lag)
+                out_a.append(order[i])
+                out_b.append(order[i + lag])
         if len(hit):
             while not np.array_equal(up := root[root], root):
                 root = up
@@ -105,9 +110,10 @@ def links_in_groups(group: np.ndarray, fps: np.ndarray, max_bits: int, side: np.
 def links(distinct: DataFrame, max_bits: int = 3, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``distinct(fp)`` -> ``(a, b)``: links that connect whatever ``max_bits`` differing bits connect.
 
-    Fingerprints meet where all bands but ``max_bits`` agree, one key for each choice of bands.
-    A bucket of more than ``block_rows`` rows is dealt into blocks, compared pair of blocks by
-    pair of blocks in separate groups, so no task holds a whole hot bucket.
+    Fingerprints meet where all bands but ``max_bits`` agree, one key for each choice of bands.  A bucket of more
+    than ``block_rows`` rows is cut by pivots: its rows lie in cells of their distances to two references, and
+    only cells next to each other meet, one group for each pair of cells (a cell of very many rows is dealt into
+    blocks first).  So no task holds a whole hot bucket, and most pairs of its parts are never made.
     """
     keep = len(BANDS) - max_bits
     if keep < 1:
@@ -118,38 +124,47 @@ def links(distinct: DataFrame, max_bits: int = 3, block_rows: int = BLOCK_ROWS)
     keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(signed)])
     rows = distinct.select("fp", F.explode(keys).alias("key"))
     many = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = rows.join(many, "key").withColumn("blocks", F.ceil(F.col("n") / block_rows).cast("int"))
-    met = met.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    met = met.select("key", "fp", "block", other)
-    met = met.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "fp")
-    met = met.select(F.xxhash64("key", "i", "j").alias("grp"), "fp")
+    met = rows.join(many, "key")
+    small = met.where(F.col("n") <= block_rows).select(F.col("key").alias("grp"), "fp", F.lit(2).alias("side"))
+
+    far = reference_fingerprints(2).view(np.int64).tolist()
+    cell = lambda r: F.floor(F.bit_count(F.col("fp").bitwiseXOR(F.lit(r))) / (max_bits + 1)).cast("int")
+    hot = met.where(F.col("n") > block_rows).select("key", "fp", cell(far[0]).alias("x"), cell(far[1]).alias("y"))
+    sizes = hot.groupBy("key", "x", "y").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
+    hot = hot.join(sizes, ["key", "x", "y"]).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    near = F.explode(F.array(*[F.struct((F.col("x") + dx).alias("u"), (F.col("y") + dy).alias("v")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]))
+    hot = hot.withColumn("near", near).select("key", "fp", F.struct("x", "y", "block").alias("own"), "near.u", "near.v")
+    other = sizes.select("key", F.col("x").alias("u"), F.col("y").alias("v"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    hot = hot.join(other, ["key", "u", "v"]).withColumn("to", F.struct(F.col("u").alias("x"), F.col("v").alias("y"), "block"))
+    side = F.when(F.col("own") == F.col("to"), 2).when(F.col("own") < F.col("to"), 0).otherwise(1)
+    hot = hot.select(F.xxhash64("key", F.least("own", "to"), F.greatest("own", "to")).alias("grp"), "fp", side.alias("side"))
     small_batches(distinct.sparkSession)
-    met = met.repartition("grp").sortWithinPartitions("grp", "fp")
+    met = small.unionByName(hot).repartition("grp").sortWithinPartitions("grp", "fp")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g, f in _whole_groups(parts):
-            a, b = links_in_groups(g, f, max_bits)
+        for g, f, s in _whole_groups(parts):
+            a, b = links_in_groups(g, f, s, max_bits)
             yield pa.RecordBatch.from_arrays([pa.array(f[a].view(np.int64)), pa.array(f[b].view(np.int64))], names=["a", "b"])
 
     return met.mapInArrow(run, "a long, b long")
 
 
-def _whole_groups(parts: Iterator[pa.RecordBatch], rows: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _whole_groups(parts: Iterator[pa.RecordBatch], rows: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Batches of sorted rows, cut between groups."""
-    held_g, held_f, n = [], [], 0
+    held: list[tuple[np.ndarray, ...]] = []
+    n = 0
     for part in parts:
-        held_g.append(part.column(0).to_numpy())
-        held_f.append(part.column(1).to_numpy().view(np.uint64))
+        held.append((part.column(0).to_numpy(), part.column(1).to_numpy().view(np.uint64), part.column(2).to_numpy()))
         n += part.num_rows
         if n >= rows:
-            g, f = np.concatenate(held_g), np.concatenate(held_f)
+            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+            g = columns[0]
             cut = int(np.flatnonzero(g != g[-1])[-1]) + 1 if g[0] != g[-1] else 0
             if cut:
-                yield g[:cut], f[:cut]
-            held_g, held_f, n = [g[cut:]], [f[cut:]], len(g) - cut
+                yield tuple(c[:cut] for c in columns)
+            held, n = [tuple(c[cut:] for c in columns)], len(g) - cut
     if n:
-        yield np.concatenate(held_g), np.concatenate(held_f)
+        yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
 
 
 def simhash_components(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFrame:
@@ -166,7 +181,8 @@ def simhash_components(docs: DataFrame, shingle: int = 3, max_bits: int = 3) ->
     rooted = nodes.join(comp, nodes["fp"] == comp["a"], "left").select("fp", "least", F.coalesce("b", "fp").alias("root"))
     rooted = materialise(rooted)
     best = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(best, "root").select("fp", "component_id")
+    named = materialise(rooted.join(best, "root").select("fp", "component_id"))
+    drop(comp, rooted)
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -174,20 +190,25 @@ def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFrame:
     """One row of each group of near-duplicates: that of the smallest doc_id, then the first one.
 
     Rows count by themselves, so rows without doc_id or under one doc_id are alike only if their texts
-    are; a row without doc_id leads where its whole group has none.  ``docs`` must be a stable read.
+    are; a row without doc_id leads where its whole group has none.  All columns stay, whatever their names;
+    null and empty texts are alike; an empty table gives no rows.
     """
-    rows = numbered(docs)
-    found = simhash_components(rows.select(F.col("_row").alias("doc_id"), "text"), shingle, max_bits)
-    return leaders(docs, found)
-
-
-def leaders(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that lead their component; ``found(doc_id, component_id)`` has row numbers as doc_id."""
-    rows = numbered(docs)
-    found = found.select(F.col("doc_id").alias("_row"), "component_id")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
-    first = rows.select("_row", "doc_id").join(found, "_row").groupBy("component_id").agg(F.min(order).alias("first"))
-    return rows.join(first.select("first._row"), "_row", "left_semi").select(*docs.columns)
+    row = free_name(docs, "_row")
+    rows = numbered(docs, row)
+    found = simhash_components(rows.select(F.col(row).alias("doc_id"), "text"), shingle, max_bits)
+    return leaders(rows, found, row).select(*docs.columns)
+
+
+def leaders(rows: DataFrame, found: DataFrame, row: str) -> DataFrame:
+    """The ``rows`` that lead their component: smallest doc_id, then smallest number in column ``row``.
+
+    ``found(doc_id, component_id)`` has those numbers as doc_id.
+    """
+    parts = found.select(F.col("doc_id").alias("n"), F.col("component_id").alias("part"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "n")
+    ids = rows.select(F.col(row).alias("n"), "doc_id")
+    first = ids.join(parts, "n").groupBy("part").agg(F.min(order).alias("first"))
+    return rows.join(first.select(F.col("first.n").alias(row)), row, "left_semi")
 
 
 def hex_fingerprint(column: str = "fp"):
