@@ -1,10 +1,10 @@
-"""Byte-level substring removal by bucket-pointer refinement of sampled suffixes.
+"""Byte-level substring removal by bucket-pointer refinement of suffixes.
 
-Suffixes are put into buckets by their first 16 bytes.  Only sampled suffixes, the anchors of the
-50-byte windows (see ``anchors``), are exchanged.  Buckets are refined by the identifiers of what
-stands at later offsets; a suffix alone in its bucket is settled and leaves.  The suffixes that still
-share a bucket are expanded to all their window starts, and those are refined by doubling, 8 to 16 to
-32 to 50 bytes, each round ordering by the pair (own bucket, bucket at the later offset) of the last.
+First Spark deals sampled suffixes, the anchors of the 50-byte windows (see ``anchors``), into buckets by
+their first 16 bytes.  An anchor whose bucket no other document shares is settled and leaves, with all its
+windows; one whose whole surroundings stand in a smaller document too is decided.  The suffixes of the
+others are refined bucket by bucket: sorted by the pair (own bucket, bucket of the suffix further on), the
+new buckets being the pointers of the next round, from 8 to 16 to 32 to 50 bytes.
 """
 
 from __future__ import annotations
@@ -20,12 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from alignlake.llm.anchors import byte_buckets, refine, runs
-from alignlake.llm.common import materialise, numbered, small_batches
+from alignlake.llm.common import small_batches
+from alignlake.scratch import drop, free_name, materialise, numbered
 
 LENGTH = 50
 GRAM = 16
 #: Bytes of text behind one bucket of anchors, about; buckets, at least.
-BUCKET_BYTES, LEAST_BUCKETS = 8 << 20, 64
+BUCKET_BYTES, LEAST_BUCKETS = 2 << 20, 64
 
 
 def buckets_at(data: bytes, length: int) -> np.ndarray:
@@ -94,6 +95,46 @@ def _settle(h: np.ndarray, ctx: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray
     return order, sure, mixed & ~sure
 
 
+def _parts(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket number, whether several documents share the bucket) of each suffix, by sorting ``key``."""
+    order = np.argsort(key, kind="stable")
+    new = _firsts(key[order])
+    number, open_ = np.empty(len(key), np.int64), np.empty(len(key), bool)
+    of = np.cumsum(new) - 1
+    number[order] = of
+    if len(key):
+        starts, docs = np.flatnonzero(new), doc[order]
+        open_[order] = (np.minimum.reduceat(docs, starts) != np.maximum.reduceat(docs, starts))[of]
+    return number, open_
+
+
+def pointer_buckets(texts: list[bytes], docs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(open, bucket) of every offset of the joined ``texts``: open ones share ``length`` bytes with another of ``docs``.
+
+    Suffixes start in the buckets of their first 8 bytes.  Each round sorts those that several documents still
+    share by the pair (own bucket, bucket of the suffix as many bytes further on as they are known to share), and
+    writes the new buckets into the table that the next round reads.  A suffix whose bucket one document has for
+    itself is settled and sorted no more; what points to it settles in the next round.
+    """
+    sizes = np.array([len(t) for t in texts], np.int64)
+    data, ends, doc = b"".join(texts), np.repeat(np.cumsum(sizes), sizes), np.repeat(docs, sizes)
+    bucket = np.arange(len(data), dtype=np.int64)
+    here = np.flatnonzero(bucket + 8 <= ends)
+    number, open_ = _parts(byte_buckets(data)[here], doc[here])
+    bucket[here] = number
+    here, known = here[open_], 8
+    while known < length and len(here):
+        step = min(known, length - known)
+        here = here[here + step + known <= ends[here]]
+        number, open_ = _parts((bucket[here].astype(np.uint64) << np.uint64(32)) | bucket[here + step].astype(np.uint64), doc[here])
+        bucket[here] = number + int(bucket.max()) + 1
+        _, bucket = np.unique(bucket, return_inverse=True) if int(bucket.max()) >> 31 else (None, bucket)
+        here, known = here[open_], known + step
+    live = np.zeros(len(data), bool)
+    live[here] = True
+    return live, bucket
+
+
 def repeats(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     """``rows(_row, doc_id, text)`` -> ``(_row, marks array<struct<lo, mask>>)``: bit j of a mask says that the
     string of ``length`` bytes at ``lo + j`` also starts in a document of smaller doc_id."""
@@ -142,18 +183,19 @@ def repeats(rows: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["h", "_row", "doc_id", "lo", "n", "bytes"])
 
     def expand(table: pa.Table) -> pa.Table:
-        h, row, doc, lo, n = (table[c].to_numpy() for c in ("h", "_row", "doc_id", "lo", "n"))
+        row, doc, lo, n = (table[c].to_numpy() for c in ("_row", "doc_id", "lo", "n"))
         texts = table["bytes"].to_pylist()
+        live, bucket = pointer_buckets(texts, doc, length)
         at = np.concatenate(([0], np.cumsum([len(t) for t in texts])))[:-1]
         of = np.repeat(np.arange(len(n)), n)
         j = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-        ids = buckets_at(b"".join(texts), length)[at[of] + j]
-        order = np.lexsort((doc[of], ids, h[of]))
-        new = _firsts(h[of][order], ids[order])
-        docs = doc[of][order]
-        covered = docs > docs[np.flatnonzero(new)][np.cumsum(new) - 1]
+        open_ = live[at[of] + j]
+        of, j = of[open_], j[open_]
+        ids, docs = bucket[at[of] + j], doc[of]
+        least = np.full(int(ids.max()) + 1 if len(ids) else 0, np.iinfo(np.int64).max)
+        np.minimum.at(least, ids, docs)
+        hit = docs > least[ids]
         mask = np.zeros(len(n), np.int64)
-        hit = order[covered]
         np.bitwise_or.at(mask, of[hit], np.int64(1) << j[hit])
         keep = mask != 0
         return pa.table({"_row": row[keep], "lo": lo[keep], "mask": mask[keep]})
@@ -165,7 +207,9 @@ def repeats(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     masks = materialise(small.select(bucket, "*").groupBy("bucket").applyInArrow(lambda t: expand(t.drop_columns(["bucket"])), "_row long, lo int, mask long"))
     whole = settled.where("not open").select("_row", "lo", F.expr("shiftleft(1L, n) - 1").alias("mask"))
     both = whole.unionByName(masks).groupBy("_row").agg(F.collect_list(F.struct("lo", "mask")).alias("marks"))
-    return materialise(both)
+    out = materialise(both)
+    drop(settled, masks)
+    return out
 
 
 def strip_bytes(text: bytes | None, marks: list | None, length: int = LENGTH) -> tuple[int, int, int, bytes]:
@@ -185,21 +229,24 @@ def strip_bytes(text: bytes | None, marks: list | None, length: int = LENGTH) ->
     return len(data), int(gone.sum()), spans, np.frombuffer(data, np.uint8)[~gone].tobytes()
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``docs`` with ``stripped`` (struct of n_bytes, n_removed, n_spans, kept binary): each byte goes that a
+def remove_repeats(docs: DataFrame, length: int = LENGTH, into: str | None = None) -> DataFrame:
+    """``docs`` with a struct of n_bytes, n_removed, n_spans and kept (binary): each byte goes that a
     string of ``length`` bytes covers which also starts in a document of smaller doc_id.
 
     Strings are judged on the input and never cross documents.  Null texts count as empty.  Rows without
     doc_id neither lose bytes nor make others lose any; rows of one doc_id don't affect each other.  All
-    columns stay as they were; an empty table gives no rows.
+    columns stay as they were; the struct is named ``into``, or ``stripped`` (with underscores before it
+    if the table has such a column).  An empty table gives no rows.
     """
-    rows = numbered(docs)
-    marks = repeats(rows.select("_row", "doc_id", "text"), length)
+    row, into = free_name(docs, "_row"), into or free_name(docs, "stripped")
+    rows = numbered(docs, row)
+    marks = repeats(rows.select(F.col(row).alias("_row"), "doc_id", "text"), length)
 
     @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept binary")
     def strip(text: pd.Series, marks: pd.Series) -> pd.DataFrame:
         got = [strip_bytes(t, m, length) for t, m in zip(text, marks, strict=True)]
         return pd.DataFrame(got, columns=["n_bytes", "n_removed", "n_spans", "kept"], index=text.index)
 
-    joined = rows.join(marks.withColumnRenamed("marks", "_marks"), "_row", "left")
-    return joined.withColumn("stripped", strip(F.col("text").cast("binary"), F.col("_marks"))).drop("_row", "_marks")
+    found = free_name(docs, "_marks")
+    joined = rows.join(marks.select(F.col("_row").alias(row), F.col("marks").alias(found)), row, "left")
+    return joined.select(*docs.columns, strip(F.col("text").cast("binary"), F.col(found)).alias(into))
