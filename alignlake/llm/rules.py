@@ -7,15 +7,20 @@ arithmetic over the ledger and never touches a text again.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alignlake.llm.anchors import refine
-from alignlake.llm.common import map_texts
+from alignlake.llm.common import map_texts, small_batches
+from alignlake.scratch import free_name
 
 SYMBOLS = b"#*$%&|<>"
 REPEAT_WINDOW = 8
@@ -116,3 +121,20 @@ def judge(docs: DataFrame, policy: str = "v2") -> DataFrame:
     """The ledger with ``base_failed`` (fails a rule of v1) and ``kept`` (passes v1 and the policy)."""
     book = ledger(docs)
     return book.withColumn("base_failed", ~passes("v1")).withColumn("kept", passes("v1") & passes(policy))
+
+
+def keep_passing(docs: DataFrame, policy: str = "v2") -> DataFrame:
+    """The rows of ``docs`` whose text passes v1 and the policy, each judged by itself; all columns stay.
+
+    Null and empty texts fail ``few_words``; repeated rows stay or go together; an empty table gives no rows.
+    """
+    small_batches(docs.sparkSession)
+
+    @F.pandas_udf(", ".join(f"{m} long" for m in MEASURES))
+    def measured(text: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(list(map(measure, text)), columns=list(MEASURES), index=text.index)
+
+    name = free_name(docs, "measured")
+    rows = docs.withColumn(name, measured(F.col("text").cast("binary")))
+    failed = reduce(or_, [F.expr(re.sub(r"\bn_\w+|\bword_chars", rf"{name}.\g<0>", r.fails)) for r in RULES if r.name in {*BASE, *POLICIES[policy]}])
+    return rows.where(~failed).select(*docs.columns)
