@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -12,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+#: Seconds after which a written table is followed by a garbage collection of the driver.
+COLLECT_AFTER = 15.0
+_collected = [0.0]
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -50,6 +55,19 @@ def write(df: DataFrame, path: str, *partition_by: str) -> None:
     """Write a scratch table."""
     with freed_shuffles(df.sparkSession):
         df.write.partitionBy(*partition_by).option("compression", "zstd").parquet(path)
+    collect_now_and_then(df.sparkSession)
+
+
+def collect_now_and_then(spark: SparkSession) -> None:
+    """Let go of finished plans, generated classes and broadcasts, at most every ``COLLECT_AFTER`` seconds.
+
+    Spark's own periodic collection comes every half hour, which is too seldom for a small driver that runs many
+    short queries, and its interval can't be set in a running session.
+    """
+    if time.monotonic() - _collected[0] > COLLECT_AFTER:
+        gc.collect()
+        spark._jvm.System.gc()
+        _collected[0] = time.monotonic()
 
 
 def materialise(df: DataFrame) -> DataFrame:
