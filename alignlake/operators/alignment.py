@@ -125,10 +125,15 @@ def slice_by_reference(cells: DataFrame, row_no: int = 0) -> DataFrame:
     return keep_columns(cells, cells.where((F.col("row_no") == row_no) & ~F.col("is_gap")).select("aln_id", "col"))
 
 
-def local_trim(cells: DataFrame) -> DataFrame:
-    """Keep the columns between some row's first and last match; a match is a residue in a column with two or more."""
+def local_trim(cells: DataFrame, annotation: DataFrame | None = None) -> DataFrame:
+    """Keep the columns between some row's first and last match; a match is a residue in a column with two or more.
+
+    An ``annotation(aln_id, col, ch)`` keeps those between its own first and last symbol other than ``.`` too.
+    """
     matched = column_gaps(cells).where("n_rows - n_gaps > 1").select("aln_id", "col")
-    ends = cells.where("not is_gap").join(matched, ["aln_id", "col"], "left_semi").groupBy(*_ROW).agg(F.min("col").alias("a"), F.max("col").alias("b"))
+    ends = cells.where("not is_gap").join(matched, ["aln_id", "col"], "left_semi").groupBy(*_ROW).agg(F.min("col").alias("a"), F.max("col").alias("b")).select("aln_id", "a", "b")
+    if annotation is not None:
+        ends = ends.unionByName(annotation.where("ch != '.'").groupBy("aln_id").agg(F.min("col").alias("a"), F.max("col").alias("b")))
     spans = ends.select("aln_id", F.explode(F.sequence("a", "b")).alias("col")).distinct()
     return keep_columns(cells, spans)
 
@@ -199,9 +204,12 @@ def mask_annotation(annotation: DataFrame, columns: DataFrame, ch: str) -> DataF
     return annotation.join(hit, ["aln_id", "col"], "left").withColumn("ch", new).drop("hit")
 
 
-def drop_annotated_gaps(cells: DataFrame, annotation: DataFrame, gap_chars: str = GAP_CHARS) -> DataFrame:
-    """Drop columns in which an annotation ``(aln_id, col, ch)`` has a gap character."""
-    return drop_columns(cells, annotation.where(is_gap("ch", gap_chars)).select("aln_id", "col").distinct())
+def drop_annotated_gaps(alignment: DataFrame, annotation: DataFrame, gap_chars: str = GAP_CHARS, cells: DataFrame | None = None) -> DataFrame:
+    """Drop columns in which an annotation ``(aln_id, col, ch)``, or one of ``cells(aln_id, name, col, ch)``, has a gap character."""
+    notes = annotation.select("aln_id", "col", "ch")
+    if cells is not None:
+        notes = notes.unionByName(cells.select("aln_id", "col", "ch"))
+    return drop_columns(alignment, notes.where(is_gap("ch", gap_chars)).select("aln_id", "col").distinct())
 
 
 def concatenate(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -48,6 +48,19 @@ def column_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
     return side(a, "col_a").join(side(b, "col_b"), ["aln_id", "name", "pos"]).groupBy("aln_id", "col_a", "col_b").agg(F.count("*").alias("n"))
 
 
+def distinct_columns(cells: DataFrame) -> DataFrame:
+    return column_signatures(cells).select("aln_id", "signature").distinct()
+
+
+def pairs_except(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Residue pairs that ``a`` has and ``b`` lacks: each residue's column in ``b`` comes along, so that ``b``'s pairs are never made."""
+    there = b.where("not is_gap").select("aln_id", "name", "pos", F.col("col").alias("col_b"))
+    x = a.where("not is_gap").select("aln_id", "col", "name", "pos").join(there, ["aln_id", "name", "pos"], "left")
+    y = x.select("aln_id", "col", F.col("name").alias("n2"), F.col("pos").alias("pos2"), F.col("col_b").alias("other"))
+    pairs = x.withColumnRenamed("name", "n1").withColumnRenamed("pos", "pos1").join(y, ["aln_id", "col"]).where("n1 < n2 and coalesce(col_b != other, true)")
+    return pairs.select("aln_id", "n1", "n2", "pos1", "pos2")
+
+
 def pair_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
     """``(aln_id, n1, n2, n_shared)``: residue pairs of two rows that both alignments have.
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from alignlake.operators import alignment as A
 from alignlake.operators import compare as C
+from alignlake.operators import tables as O
 from alignlake.plans import inputs as I
 
 QUERIES, ORACLES = {}, {}
@@ -105,7 +106,7 @@ def p13_mask_annotation(spark, sf_dir):
 def p14_filter_by_tag(spark, sf_dir):
     rows = I.rows(spark, sf_dir)
     tags = rows.groupBy("aln_id").agg(F.sum(F.length("gapped")).alias("value")).withColumn("tag", F.lit("SC"))
-    return rows.join(tags.where("tag = 'SC' and value > 2000"), "aln_id", "left_semi")
+    return O.filter_by_tag(rows, tags.withColumn("value", F.col("value").cast("string")), "SC", 2000)
 
 
 @query(f"WITH {I.ROWS} SELECT * FROM rows_ WHERE regexp_matches(gapped, '[xyz]')")
@@ -122,7 +123,7 @@ def p16_local_trim(spark, sf_dir):
 
 @query("SELECT conv_id, turn FROM conversations WHERE turn % 2 = 0")
 def p17_thin(spark, sf_dir):
-    return I.table(spark, sf_dir, "conversations").where("turn % 2 = 0").select("conv_id", "turn")
+    return O.thin(I.table(spark, sf_dir, "conversations").select("conv_id", "turn"), 2, "turn")
 
 
 @cells_query("SELECT c.aln_id, c.row_no, c.name, c.col, coalesce(r.ch, c.ch) AS ch, c.is_gap, c.pos FROM cells c LEFT JOIN (SELECT aln_id, col, upper(ch) AS ch FROM cells WHERE row_no = 0) r ON c.aln_id = r.aln_id AND c.col = r.col AND c.row_no = 1")
@@ -141,7 +142,7 @@ def p23_unalign(spark, sf_dir):
 
 @query("SELECT doc_id, upper(regexp_replace(lower(text), '[^a-z]', '', 'g')) AS seq FROM documents")
 def p24_to_upper(spark, sf_dir):
-    return I.sequences(spark, sf_dir).select(F.col("seq_id").cast("long").alias("doc_id"), F.upper("seq").alias("seq"))
+    return O.fold_case(I.sequences(spark, sf_dir).select(F.col("seq_id").cast("long").alias("doc_id"), "seq"))
 
 
 @query(r"""WITH r AS (SELECT conv_id::VARCHAR AS aln_id, turn::INTEGER AS row_no, role || '-' || turn AS name, regexp_replace(text, '[^a-zA-Z]', '-', 'g') AS g FROM conversations),
@@ -241,10 +242,8 @@ def j10_find_row(spark, sf_dir):
 @cells_query("""SELECT a.aln_id, a.col, a.ch AS actual, b.ch AS predicted, a.ch = b.ch AS equal
 FROM cells a JOIN cells b ON a.aln_id = b.aln_id AND a.col = b.col AND a.row_no = 0 AND b.row_no = 1""")
 def j12_compare_annotation(spark, sf_dir):
-    cells = I.cells(spark, sf_dir)
-    a = cells.where("row_no = 0").select("aln_id", "col", F.col("ch").alias("actual"))
-    b = cells.where("row_no = 1").select("aln_id", "col", F.col("ch").alias("predicted"))
-    return a.join(b, ["aln_id", "col"]).withColumn("equal", F.col("actual") == F.col("predicted"))
+    cells = I.cells(spark, sf_dir).select("aln_id", "row_no", "col", "ch")
+    return O.compare_annotation(cells.where("row_no = 0"), cells.where("row_no = 1"))
 
 
 @cells_query(""", q AS (SELECT x.aln_id, x.row_no AS r, x.pos AS x, y.pos AS y FROM cells x JOIN cells y ON x.aln_id = y.aln_id AND x.col = y.col AND y.row_no = x.row_no + 1 AND NOT x.is_gap AND NOT y.is_gap),
@@ -355,13 +354,12 @@ def u4_nonredundant(spark, sf_dir):
 
 @query(_SETS + " SELECT DISTINCT aln_id, signature FROM ca")
 def u2_distinct_columns(spark, sf_dir):
-    return C.column_signatures(I.cells(spark, sf_dir)).select("aln_id", "signature").distinct()
+    return C.distinct_columns(I.cells(spark, sf_dir))
 
 
 @query(_SETS + " SELECT * FROM pa EXCEPT ALL SELECT * FROM pb")
 def u3_pairs_except(spark, sf_dir):
-    a, b = (C.residue_pairs(x).select("aln_id", "n1", "n2", "pos1", "pos2") for x in (I.cells(spark, sf_dir), I.cells_b(spark, sf_dir)))
-    return a.exceptAll(b)
+    return C.pairs_except(I.cells(spark, sf_dir), I.cells_b(spark, sf_dir))
 
 
 @query(f"WITH {I.ROWS} SELECT aln_id, min(length(gapped))::INTEGER AS shortest, max(length(gapped))::INTEGER AS longest FROM raw_ GROUP BY ALL HAVING min(length(gapped)) <> max(length(gapped))")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from alignlake.operators import annotate as N
 from alignlake.operators import sequences as S
+from alignlake.operators import tables as O
 from alignlake.operators import trees as T
 from alignlake.plans import inputs as I
 from alignlake.plans.sequences import _tree
@@ -190,15 +191,12 @@ def w13_progress(spark, sf_dir):
 
 @query(f"WITH {I.CELLS} SELECT aln_id, col, sum(pos)::BIGINT AS total, (row_number() OVER (PARTITION BY aln_id ORDER BY sum(pos), col))::INTEGER AS place FROM cells WHERE NOT is_gap GROUP BY aln_id, col")
 def o3_rank_columns(spark, sf_dir):
-    from pyspark.sql import Window as W
-
-    sums = I.cells(spark, sf_dir).where("not is_gap").groupBy("aln_id", "col").agg(F.sum("pos").alias("total"))
-    return sums.withColumn("place", F.row_number().over(W.partitionBy("aln_id").orderBy("total", "col")))
+    return O.rank_columns(I.cells(spark, sf_dir))
 
 
 @query("SELECT DISTINCT p_name AS param, reverse(p_name) AS key FROM part ORDER BY key")
 def o4_sort_params(spark, sf_dir):
-    return I.table(spark, sf_dir, "part").select(F.col("p_name").alias("param"), F.reverse("p_name").alias("key")).distinct().orderBy("key")
+    return O.sort_params(I.table(spark, sf_dir, "part").select(F.col("p_name").alias("param")))
 
 
 @query("SELECT o_custkey AS query, o_orderkey AS ref, o_totalprice AS score FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from alignlake.operators import sequences as S
+from alignlake.operators import tables as O
 from alignlake.plans import inputs as I
 
 QUERIES, ORACLES = {}, {}
@@ -136,8 +137,7 @@ def t1_ancestors(spark, sf_dir):
 
 @query(f"{_UP} SELECT ancestor AS node, count(*) AS n_below, max(distance) AS farthest FROM up GROUP BY ancestor")
 def t2_descendants(spark, sf_dir):
-    up = S.ancestors(_tree(spark, sf_dir))
-    return up.groupBy(F.col("ancestor").alias("node")).agg(F.count("*").alias("n_below"), F.max("distance").alias("farthest"))
+    return S.descendants(_tree(spark, sf_dir))
 
 
 @query(f"WITH {_TREE} SELECT node FROM tree WHERE node NOT IN (SELECT parent FROM tree WHERE parent IS NOT NULL)")
@@ -147,7 +147,7 @@ def t3_leaves(spark, sf_dir):
 
 @query(f"{_UP} SELECT node, max(hops)::INTEGER AS depth, max(distance) AS depth_len FROM up GROUP BY node")
 def t5_depth(spark, sf_dir):
-    return S.ancestors(_tree(spark, sf_dir)).groupBy("node").agg(F.max("hops").alias("depth"), F.max("distance").alias("depth_len"))
+    return S.depths(_tree(spark, sf_dir))
 
 
 @query(f"WITH {_TREE} SELECT parent AS node, count(*) AS n FROM tree WHERE parent IS NOT NULL GROUP BY parent HAVING count(*) <> 2")
@@ -157,7 +157,7 @@ def t11_binary_check(spark, sf_dir):
 
 @query(f"WITH {_TREE} SELECT sum(branch_len)::BIGINT AS total, min(branch_len) AS shortest, max(branch_len) AS longest FROM tree")
 def t12_branch_lengths(spark, sf_dir):
-    return _tree(spark, sf_dir).agg(F.sum("branch_len").alias("total"), F.min("branch_len").alias("shortest"), F.max("branch_len").alias("longest"))
+    return S.branch_lengths(_tree(spark, sf_dir))
 
 
 def _items(spark, sf_dir):
@@ -214,24 +214,21 @@ def a40_merge_interval_counts(spark, sf_dir):
 
 @query("SELECT l_linenumber AS start, count(*) AS n FROM lineitem GROUP BY l_linenumber")
 def a41_start_coverage(spark, sf_dir):
-    return I.table(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").alias("start")).agg(F.count("*").alias("n"))
+    return O.start_coverage(I.table(spark, sf_dir, "lineitem"), "l_linenumber")
 
 
 @query("SELECT event_type, sum(CASE WHEN user_id % 3 = 0 THEN value END) AS r0, sum(CASE WHEN user_id % 3 = 1 THEN value END) AS r1, sum(CASE WHEN user_id % 3 = 2 THEN value END) AS r2 FROM (SELECT event_type, user_id, round(value * 100)::BIGINT AS value FROM events) GROUP BY event_type".replace("sum(", "(sum(").replace(" END)", " END))::BIGINT"))
 def a36_pivot_runs(spark, sf_dir):
     t = I.table(spark, sf_dir, "events").select("event_type", F.concat(F.lit("r"), F.col("user_id") % 3).alias("run"), F.round(F.col("value") * 100).cast("bigint").alias("value"))
-    return t.groupBy("event_type").pivot("run", ["r0", "r1", "r2"]).sum("value")
+    return O.pivot_runs(t, "event_type", "run", ["r0", "r1", "r2"], "value")
 
 
 @query("""WITH o AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id)::INTEGER AS place FROM events WHERE value >= 20) SELECT * FROM o WHERE place <= 5""")
 def o2_top_hits(spark, sf_dir):
-    t = I.table(spark, sf_dir, "events").where("value >= 20").select("user_id", "event_id", "value")
-    return t.withColumn("place", F.expr("row_number() over (partition by user_id order by value desc, event_id)")).where("place <= 5")
+    return O.top_hits(I.table(spark, sf_dir, "events").select("user_id", "event_id", "value"), "user_id", "value", "event_id", 20, 5)
 
 
 @query("SELECT event_id, event_type, value FROM events WHERE (value >= 30 AND event_type <> 'view') OR event_type = 'error'")
 def p21_filter_log(spark, sf_dir):
-    t = I.table(spark, sf_dir, "events").select("event_id", "event_type", "value")
-    tags = F.array("event_type")
-    shown = F.arrays_overlap(tags, F.array(F.lit("error")))
-    return t.where(shown | ((F.col("value") >= 30) & ~F.arrays_overlap(tags, F.array(F.lit("view")))))
+    t = I.table(spark, sf_dir, "events").select("event_id", "event_type", "value", F.col("value").alias("level"), F.array("event_type").alias("tags"))
+    return O.filter_log(t, 30, ["view"], ["error"]).drop("level", "tags")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from alignlake.operators import sequences as S
+from alignlake.operators import tables as O
 from alignlake.operators import trees as T
 from alignlake.operators import windows as X
 from alignlake.plans import inputs as I
@@ -89,7 +90,7 @@ def u1_append(spark, sf_dir):
 
 @query(f"WITH {I.ROWS} SELECT aln_id, row_no, translate(gapped, 'hgiebts', 'hhhee..') AS states FROM rows_")
 def f7_map_states(spark, sf_dir):
-    return I.rows(spark, sf_dir).select("aln_id", "row_no", F.translate("gapped", "hgiebts", "hhhee..").alias("states"))
+    return O.map_states(I.rows(spark, sf_dir).select("aln_id", "row_no", F.col("gapped").alias("states")), "states", "hgiebts", "hhhee..")
 
 
 _LCA = f"""{_UP}, l AS (SELECT node, ancestor, hops, distance FROM up UNION ALL SELECT node, node, 0, 0 FROM tree),
