@@ -147,3 +147,31 @@ def null_scores(model: DataFrame, sequences: DataFrame, order: int, symbols: int
 def merge_features(*tables: DataFrame) -> DataFrame:
     """Features of several files one below the other; columns that some lack are null there."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+
+
+def value_centroid(items: DataFrame) -> DataFrame:
+    """``items(grp, i, v)`` -> as ``trace_centroid`` for the distance ``|v - v|``: sums come from sorted values, no pair is made."""
+    order = W.partitionBy("grp").orderBy("v", "i")
+    every = W.partitionBy("grp")
+    at = items.withColumn("r", F.row_number().over(order) - 1).withColumn("n", F.count("*").over(every))
+    at = at.withColumn("below", F.coalesce(F.sum("v").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))).withColumn("all", F.sum("v").over(every))
+    total = F.col("v") * (2 * F.col("r") + 1 - F.col("n")) + F.col("all") - F.col("v") - 2 * F.col("below")
+    sums = at.where("n > 1").withColumn("total", F.round(total, 4))
+    best = sums.groupBy("grp").agg(F.min(F.struct("total", "i", "n")).alias("m"))
+    return best.select("grp", "m.i", F.round(F.col("m.total") / F.col("m.n"), 6).alias("mean"))
+
+
+def nearest_values(items: DataFrame, k: int, digits: int = 4) -> DataFrame:
+    """``items(grp, i, v)`` -> the ``k`` nearest of each item by ``|v - v|``, ties to the smaller one.
+
+    They are among the ``k`` items on either side in the order of values and the first ``k`` of its own value.
+    """
+    other = F.struct(F.col("i").alias("j"), F.col("v").alias("w"))
+    left = W.partitionBy("grp").orderBy("v", F.desc("i")).rowsBetween(-k, -1)
+    right = W.partitionBy("grp").orderBy("v", "i").rowsBetween(1, k)
+    same = items.withColumn("place", F.row_number().over(W.partitionBy("grp", "v").orderBy("i"))).where(F.col("place") <= k + 1)
+    same = same.groupBy("grp", "v").agg(F.collect_list(other).alias("same"))
+    near = items.withColumn("left", F.collect_list(other).over(left)).withColumn("right", F.collect_list(other).over(right)).join(same, ["grp", "v"])
+    each = near.select("grp", "i", "v", F.explode(F.array_distinct(F.concat("left", "right", "same"))).alias("o")).where("o.j != i")
+    each = each.select("grp", "i", F.col("o.j").alias("j"), F.round(F.abs(F.col("v") - F.col("o.w")), digits).alias("d"))
+    return each.withColumn("place", F.row_number().over(W.partitionBy("grp", "i").orderBy("d", "j"))).where(F.col("place") <= k)

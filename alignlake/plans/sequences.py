@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from alignlake.operators import sequences as S
 from alignlake.operators import tables as O
+from alignlake.operators import windows as X
 from alignlake.plans import inputs as I
 
 QUERIES, ORACLES = {}, {}
@@ -180,7 +181,7 @@ def j5_all_pairs(spark, sf_dir):
 @query(f"""{_DIST}, b AS (SELECT * FROM p UNION ALL SELECT grp, j, i, d FROM p), o AS (SELECT *, row_number() OVER (PARTITION BY grp, i ORDER BY d, j)::INTEGER AS place FROM b)
 SELECT grp, i, j, d, place FROM o WHERE place <= 3""")
 def o1_nearest(spark, sf_dir):
-    return S.nearest(S.all_pairs(_items(spark, sf_dir), "c_custkey", _gap), 3)
+    return X.nearest_values(_items(spark, sf_dir).withColumnRenamed("c_custkey", "i"), 3)
 
 
 @query(f"{_DIST} SELECT j - i AS lag, round(avg(d), 6) AS mean, count(*) AS n FROM p GROUP BY j - i")

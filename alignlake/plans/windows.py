@@ -9,7 +9,7 @@ from alignlake.operators import tables as O
 from alignlake.operators import trees as T
 from alignlake.operators import windows as X
 from alignlake.plans import inputs as I
-from alignlake.plans.sequences import _DIST, _SEQ, _TREE, _UP, _gap, _items, _tree
+from alignlake.plans.sequences import _DIST, _SEQ, _TREE, _UP, _items, _tree
 
 QUERIES, ORACLES = {}, {}
 
@@ -59,7 +59,7 @@ def a28_weighted_track(spark, sf_dir):
 @query(f"""{_DIST}, b AS (SELECT grp, i, d FROM p UNION ALL SELECT grp, j, d FROM p), s AS (SELECT grp, i, round(sum(d), 4) AS total, count(*) AS n FROM b GROUP BY grp, i),
 o AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY total, i) AS place FROM s) SELECT grp, i, round(total / (n + 1), 6) AS mean FROM o WHERE place = 1""")
 def a29_trace_centroid(spark, sf_dir):
-    return X.trace_centroid(S.all_pairs(_items(spark, sf_dir), "c_custkey", _gap))
+    return X.value_centroid(_items(spark, sf_dir).withColumnRenamed("c_custkey", "i"))
 
 
 @query("""WITH s AS (SELECT event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events),

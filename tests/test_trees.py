@@ -5,6 +5,7 @@ import random
 from alignlake.operators import plug, trees
 from alignlake.operators.alignment import BLOCK, number_residues, renumber, to_cells
 from alignlake.operators.compare import compare_alignments, runs_of
+from alignlake.operators.windows import nearest_values, value_centroid
 
 
 def tidy(nodes):
@@ -81,3 +82,17 @@ def test_leaders_equal_a_plain_loop(spark):
     got = plug.leader_cluster(items, spark.createDataFrame(pairs, "grp string, i int, j int, s double"), 0.9)
     assert {r.i: r.leader for r in got.collect()} == leader
     assert plug.leader_cluster(items.where("false"), spark.createDataFrame(pairs, "grp string, i int, j int, s double"), 0.9).count() == 0
+
+
+def test_sorted_values_give_what_pairs_give(spark):
+    rnd = random.Random(6)
+    rows = [(g, i, float(rnd.choice([1, 2, 2, 2, 5, 9, rnd.randrange(30)]))) for g in "ab" for i in range(25)] + [("c", 0, 1.0)]
+    items = spark.createDataFrame(rows, "grp string, i int, v double")
+    want, means = set(), {}
+    for g, i, v in rows:
+        others = sorted((abs(v - w), j) for h, j, w in rows if h == g and j != i)
+        want |= {(g, i, j, d, k + 1) for k, (d, j) in enumerate(others[:3])}
+        means.setdefault(g, []).append((round(sum(d for d, _ in others), 4), i, len(others) + 1))
+    assert {(r.grp, r.i, r.j, r.d, r.place) for r in nearest_values(items, 3).collect()} == want
+    best = {g: min(m) for g, m in means.items() if g != "c"}
+    assert {r.grp: (r.i, r["mean"]) for r in value_centroid(items).collect()} == {g: (i, round(t / n, 6)) for g, (t, i, n) in best.items()}
