@@ -11,49 +11,59 @@ from alignlake.llm.common import table
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left once repeated windows are gone; a row for each document, null and empty texts have no words, repeated rows repeat all their windows."""
     found = substring.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     digest = F.sha2(F.col("stripped.kept"), 256).alias("kept_sha256")
     return found.select("doc_id", "stripped.n_words", "stripped.n_removed", digest)
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores and verdict for each document; null texts and metadata are scored like any other, repeated rows alike."""
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bucket and batch of each document by its words; null and empty texts have length zero, repeated rows are packed each."""
     return packing.pack(packing.word_count(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of each url; null and odd urls have empty host and path and go to the model."""
     return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
 
 
 def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest vectors of each asking row; null, zero and non-finite vectors take no part, repeated rows count each."""
     return nearest.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measurements and verdict for each document; null and empty texts fail the base rules, repeated rows alike."""
     judged = rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of each document; null and empty texts have none, repeated rows are counted each."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids and of the decoded bytes of each document; null and empty texts have no ids, repeated rows give repeated rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return byte_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of each document; texts without words have fingerprint zero and are linked like any other, rows without doc_id are named by others."""
     found = simhash.simhash_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes left once strings of smaller documents are gone; null texts count as empty, rows without doc_id neither lose nor cause anything."""
     found = suffixes.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     digest = F.sha2(F.col("stripped.kept"), 256).alias("kept_sha256")
     return found.select("doc_id", "stripped.n_bytes", "stripped.n_removed", "stripped.n_spans", digest)
