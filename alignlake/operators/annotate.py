@@ -97,6 +97,12 @@ def mini_slices(columns: DataFrame, n: int) -> DataFrame:
     return at.select("aln_id", "col", F.floor((F.col("at") - 1) / n).cast("int").alias("slice"))
 
 
+def stem_slices(stems: DataFrame) -> DataFrame:
+    """``(id, slice, col)``: the columns of both sides of each stem ``(id, l0, l1, r0, r1)``, stems numbered from the left."""
+    at = stems.withColumn("slice", F.row_number().over(W.partitionBy("id").orderBy("l0", "r0")))
+    return at.select("id", "slice", F.explode(F.concat(F.sequence("l0", "l1"), F.sequence("r0", "r1"))).alias("col"))
+
+
 def sample_alignments(df: DataFrame, share: float, seed: str) -> DataFrame:
     """About ``share`` of the alignments, the same ones each time: a sampling operator."""
     return df.where(F.substring(F.md5(F.concat("aln_id", F.lit(seed))), 1, 8) < f"{int(share * 2**32):08x}")

@@ -127,6 +127,15 @@ def w7_stems(spark, sf_dir):
     return S.stems(pairs.select(F.concat_ws("/", "aln_id", "row_no").alias("id"), "lcol", "rcol"))
 
 
+@query(f"""{_DENSE}, f AS (SELECT *, CASE WHEN lag(lcol) OVER o = lcol - 1 AND lag(rcol) OVER o = rcol + 1 THEN 0 ELSE 1 END AS new FROM bp WINDOW o AS (PARTITION BY aln_id, row_no ORDER BY lcol)),
+r AS (SELECT *, sum(new) OVER (PARTITION BY aln_id, row_no ORDER BY lcol) AS stem FROM f), s AS (SELECT aln_id, row_no, min(lcol) AS l0 FROM r GROUP BY aln_id, row_no, stem HAVING count(*) > 1),
+n AS (SELECT *, row_number() OVER (PARTITION BY aln_id, row_no ORDER BY l0) AS slice FROM s), m AS (SELECT r.*, min(lcol) OVER (PARTITION BY aln_id, row_no, stem) AS l0 FROM r)
+SELECT m.aln_id || '/' || m.row_no AS id, slice::INTEGER AS slice, unnest([lcol, rcol]) AS col FROM m JOIN n ON n.aln_id = m.aln_id AND n.row_no = m.row_no AND n.l0 = m.l0""")
+def w15_stem_slices(spark, sf_dir):
+    pairs = N.row_pairs(_dense(spark, sf_dir), "<", ">")
+    return N.stem_slices(S.stems(pairs.select(F.concat_ws("/", "aln_id", "row_no").alias("id"), "lcol", "rcol")))
+
+
 @query(f"""{_DENSE}, d AS (SELECT *, sum(CASE WHEN ch = '<' THEN 1 ELSE -1 END) OVER (PARTITION BY aln_id, row_no ORDER BY col) AS after FROM marks)
 SELECT aln_id || '/' || row_no AS id, min(after)::BIGINT AS lowest, arg_max(after, col)::BIGINT AS final FROM d GROUP BY aln_id, row_no HAVING min(after) < 0 OR arg_max(after, col) <> 0""")
 def v5_check_brackets(spark, sf_dir):
