@@ -42,12 +42,6 @@ def column_signatures(cells: DataFrame) -> DataFrame:
     return per.where("n > 0").select("aln_id", "signature", "n")
 
 
-def column_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
-    """``(aln_id, col_a, col_b, n)``: how many residues stand in a column of ``a`` and in one of ``b``."""
-    side = lambda cells, col: cells.where("not is_gap").select("aln_id", "name", "pos", F.col("col").alias(col))
-    return side(a, "col_a").join(side(b, "col_b"), ["aln_id", "name", "pos"]).groupBy("aln_id", "col_a", "col_b").agg(F.count("*").alias("n"))
-
-
 def distinct_columns(cells: DataFrame) -> DataFrame:
     return column_signatures(cells).select("aln_id", "signature").distinct()
 
@@ -79,16 +73,17 @@ def compare_alignments(a: DataFrame, b: DataFrame) -> DataFrame:
     residues each column of ``a`` shares with each of ``b``: no pair of residues is ever made.
     """
     key = ["aln_id", "col_a", "col_b"]
-    full = lambda cells, col: cells.where("not is_gap").select("aln_id", "name", F.col("col").alias(col))
-    size = lambda cells, col, n: full(cells, col).groupBy("aln_id", col).agg(F.count("*").alias(n))
-    na, nb = size(a, "col_a", "na"), size(b, "col_b", "nb")
-    met = materialise(column_pairs(a, b).join(na, ["aln_id", "col_a"]).join(nb, ["aln_id", "col_b"]))
+    x, y = (materialise(cells.where("not is_gap").select("aln_id", "name", "pos", F.col("col").alias(col))) for cells, col in ((a, "col_a"), (b, "col_b")))
+    na = x.groupBy("aln_id", "col_a").agg(F.count("*").alias("na"))
+    nb = y.groupBy("aln_id", "col_b").agg(F.count("*").alias("nb"))
+    met = x.join(y, ["aln_id", "name", "pos"]).groupBy(*key).agg(F.count("*").alias("n"))
+    met = materialise(met.join(na, ["aln_id", "col_a"]).join(nb, ["aln_id", "col_b"]))
     one_to_one = met.where("n = na and n = nb").select(*key, F.col("n").alias("common"))  # the same residues: nothing to look up
     some = met.where("not (n = na and n = nb)").select(*key)
-    looked = some.join(full(a, "col_a"), ["aln_id", "col_a"]).join(full(b, "col_b"), ["aln_id", "col_b", "name"]).groupBy(*key).agg(F.count("*").alias("common"))
+    looked = some.join(x.drop("pos"), ["aln_id", "col_a"]).join(y.drop("pos"), ["aln_id", "col_b", "name"]).groupBy(*key).agg(F.count("*").alias("common"))
     pairs = lambda n: F.sum(F.expr(f"{n} * ({n} - 1) div 2"))
     base = na.groupBy("aln_id").agg(F.sum("na").alias("residues"), pairs("na").alias("pairs_a"), F.count("*").alias("cols_a"))
-    base = base.join(a.select("aln_id", "name").distinct().groupBy("aln_id").agg(F.count("*").alias("rows")), "aln_id")
+    base = base.join(a.groupBy("aln_id").agg(F.countDistinct("name").alias("rows")), "aln_id")
     base = base.join(nb.groupBy("aln_id").agg(pairs("nb").alias("pairs_b")), "aln_id", "left")
     shared = met.join(one_to_one.unionByName(looked), key).join(base.select("aln_id", "rows"), "aln_id")
     shared = shared.groupBy("aln_id").agg(pairs("n").alias("pairs_both"), F.count_if(F.expr("n = na and n = nb")).alias("cols_both"), F.sum(F.expr("n * (rows - na - nb + common)")).alias("gaps_both"))
