@@ -1,7 +1,8 @@
 """Near-duplicates by exact Jaccard similarity of word shingles.
 
-MinHash bands only propose pairs; whether a pair is linked is decided by comparing both whole
-shingle sets.  A pair of similarity ``s`` is proposed with probability ``1 - (1 - s**ROWS)**BANDS``.
+Bands of fast similarity sketches (see ``sketch``) only propose pairs; whether a pair is linked is decided by
+comparing both whole shingle sets.  What shares a bucket yet isn't linked through its hubs meets by an exact
+prefix filter, so a bucket's size is never squared.
 """
 
 from __future__ import annotations
@@ -17,15 +18,15 @@ from pyspark.sql import functions as F
 from alignlake.llm.anchors import combine
 from alignlake.llm.common import map_texts, small_batches
 from alignlake.llm.components import components
-from alignlake.scratch import drop, materialise
+from alignlake.llm.simhash import leaders
+from alignlake.llm.sketch import bands
+from alignlake.scratch import drop, free_name, materialise, numbered
 
 SHINGLE = 5
 #: Least similarity of a link, in hundredths, so that the comparison is in whole numbers.
 PERCENT = 80
-#: At similarity 0.8 a pair is missed with probability 4e-6, at 0.9 with 1e-13 (in the model of independent minima).
-ROWS, BANDS = 6, 41
-_STEP = 1 << 8
-_ODD = np.random.default_rng(42).integers(0, 1 << 63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Members of a hub that are compared with it in one group.
+BLOCK_ROWS = 2048
 
 
 def shingles(data: bytes | None, k: int = SHINGLE) -> np.ndarray:
@@ -42,48 +43,48 @@ def shingles(data: bytes | None, k: int = SHINGLE) -> np.ndarray:
     return np.unique(found)
 
 
-def bands(found: np.ndarray) -> list[int]:
-    """One key for each band: a hash of the band's number and its minima; none for an empty set."""
-    if not len(found):
-        return []
-    least = np.full(len(_ODD), np.iinfo(np.uint64).max, np.uint64)
-    for s in range(0, len(found), _STEP):
-        np.minimum(least, np.multiply.outer(_ODD, found[s : s + _STEP]).min(1), out=least)
-    key = np.arange(BANDS, dtype=np.uint64)
-    for column in least.reshape(BANDS, ROWS).T:
-        key = combine(key, column)
-    return key.view(np.int64).tolist()
-
-
-def similar(a: bytes, b: bytes) -> bool:
-    """Whether two sets, kept as the bytes of ``shingles``, are alike enough."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    if 100 * min(len(x), len(y)) < PERCENT * max(len(x), len(y)):
+def similar(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
+    """Whether two sets (ascending hashes) are alike enough."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
         return False
     both = np.sort(np.concatenate((x, y)), kind="stable")
     same = int(np.count_nonzero(both[1:] == both[:-1]))
-    return 100 * same >= PERCENT * (len(both) - same)
+    return 100 * same >= percent * (len(both) - same)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The ``pairs(a, b)`` whose sets are alike enough."""
-    one = pairs.join(sets.select(F.col("node").alias("a"), F.col("found").alias("x")), "a")
-    two = one.join(sets.select(F.col("node").alias("b"), F.col("found").alias("y")), "b").select("a", "b", "x", "y")
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The distinct ``pairs(a, b)`` whose sets are alike enough.
+
+    The members ``b`` of an ``a`` are dealt into blocks of about ``BLOCK_ROWS``; its set travels once for each block,
+    and a task streams a block past it, so neither side is held whole.
+    """
+    blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"))
+    dealt = pairs.join(blocks, "a").select("a", "b", F.pmod(F.xxhash64("b"), "blocks").alias("block"))
+    left = dealt.select("a", "block").distinct().join(sets.withColumnRenamed("node", "a"), "a").select("a", "block", F.lit(None).cast("long").alias("b"), "found")
+    right = dealt.join(sets.withColumnRenamed("node", "b"), "b").select("a", "block", "b", "found")
+    met = left.unionByName(right).repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub = np.empty(0, np.uint64)
         for part in parts:
-            x, y = part.column(2), part.column(3)
-            keep = [similar(x[i].as_py(), y[i].as_py()) for i in range(part.num_rows)]
-            yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            a, b, found = part.column(0), part.column(2).to_pylist(), part.column(3)
+            keep = []
+            for i, node in enumerate(b):
+                this = np.frombuffer(found[i].as_py(), np.uint64)
+                if node is None:
+                    hub = this
+                elif similar(hub, this, percent):
+                    keep.append(i)
+            yield pa.RecordBatch.from_arrays([a, part.column(2)], names=["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    return two.mapInArrow(run, "a long, b long")
+    return met.mapInArrow(run, "a long, b long")
 
 
-def _prefixes(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+def _prefixes(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``nodes(node, size, root)`` -> ``(token, node, size, root, at)``: the rarest shingles of each set.
 
-    Sets are ordered by how few of these nodes have a shingle, then by its hash.  Two sets of similarity 0.8 or
-    more share one of their first ``size - ceil(0.8 * size) + 1`` shingles in any such order; ``at`` is its place.
+    Sets are ordered by how few of these nodes have a shingle, then by its hash.  Two sets of similarity ``percent`` or
+    more share one of their first ``size - ceil(percent * size / 100) + 1`` shingles in any such order; ``at`` is its place.
     """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,26 +98,26 @@ def _prefixes(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     tokens = sets.join(nodes.select("node"), "node", "left_semi").select("node", "found").mapInArrow(run, "node long, token long")
     shared = tokens.groupBy("token").agg(F.count("*").alias("n"))
     ranked = tokens.join(shared, "token").withColumn("at", F.expr("row_number() over (partition by node order by n, token)"))
-    first = F.expr(f"size - (({PERCENT} * size + 99) div 100) + 1")
+    first = F.expr(f"size - (({percent} * size + 99) div 100) + 1")
     return ranked.join(nodes, "node").where((F.col("n") > 1) & (F.col("at") <= first)).select("token", "node", "size", "root", "at")
 
 
-def _proposed(prefixes: DataFrame) -> DataFrame:
+def _proposed(prefixes: DataFrame, percent: int) -> DataFrame:
     """Pairs of different roots that share a prefix shingle, whose sizes and rests allow enough common shingles."""
     a = prefixes.select("token", F.col("node").alias("a"), F.col("size").alias("p"), F.col("root").alias("r"), F.col("at").alias("i"))
     b = prefixes.select("token", F.col("node").alias("b"), F.col("size").alias("q"), F.col("root").alias("s"), F.col("at").alias("j"))
-    enough = f"{100 + PERCENT} * (1 + least(p - i, q - j)) >= {PERCENT} * (p + q) and 100 * least(p, q) >= {PERCENT} * greatest(p, q)"
+    enough = f"{100 + percent} * (1 + least(p - i, q - j)) >= {percent} * (p + q) and 100 * least(p, q) >= {percent} * greatest(p, q)"
     return a.join(b, (a["token"] == b["token"]) & F.expr(f"a < b and r != s and {enough}")).select("a", "b").distinct()
 
 
-def near_components(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text)`` -> ``(doc_id, component_id)`` for every row; doc_ids are distinct and not null.
+def near_components(docs: DataFrame, percent: int = PERCENT, empty_alike: bool = True) -> DataFrame:
+    """``docs(doc_id, text)`` -> ``(doc_id, n_shingles, component_id)`` for every row; doc_ids are distinct and not null.
 
-    ``component_id`` is the smallest doc_id reachable over links.  Rows of equal sets are one node (all texts
-    without words are one, null among them); an empty table gives no rows.  In each bucket every node is first
-    compared with the smallest one, then with the one that stands in most buckets.  Nodes of buckets that still
-    hold several components meet by an exact prefix filter over their whole sets, so the unlike texts of a large
-    group with much in common are never paired.
+    ``component_id`` is the smallest doc_id reachable over links of ``percent`` hundredths of similarity or more.
+    Rows of equal sets are one node; texts without words (null among them) are all one, or, unless ``empty_alike``,
+    linked with nothing.  An empty table gives no rows.  In each bucket every node is compared with the smallest one
+    and with the one that stands in most buckets.  Nodes of buckets that still hold several components meet by an
+    exact prefix filter over their whole sets, so the unlike texts of a large group with much in common are never paired.
     """
     small_batches(docs.sparkSession)
 
@@ -138,7 +139,7 @@ def near_components(docs: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.min("node").alias("hub"), F.bit_xor(mark).alias("m1"), F.sum(mark.cast("decimal(38,0)")).alias("m2")
     )
     # Buckets with the same nodes propose the same pairs: one of them is enough.
-    buckets = materialise(met.where("n > 1").groupBy("n", "hub", "m1", "m2").agg(F.min("key").alias("key")).select("key", "hub"))
+    buckets = met.where("n > 1").groupBy("n", "hub", "m1", "m2").agg(F.min("key").alias("key")).select("key", "hub")
     rows = materialise(rows.join(buckets, "key"))
     wanted = rows.select(F.col("node").alias("doc_id")).distinct()
 
@@ -146,38 +147,59 @@ def near_components(docs: DataFrame) -> DataFrame:
         return {"node": keys, "found": [shingles(t).tobytes() for t in texts]}
 
     sets = materialise(map_texts(docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text"), whole, "node long, found binary"))
-    drop(buckets)
-    links = materialise(_verified(rows.where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), sets))
+    often = rows.groupBy("node").agg(F.count("*").alias("n_keys"))
+    centre = rows.join(often, "node").groupBy("key").agg(F.max(F.struct("n_keys", "node"))["node"].alias("centre"))
+    to_centre = rows.join(centre.withColumnRenamed("key", "k"), F.col("key") == F.col("k"))
+    pairs = rows.select(F.col("hub").alias("a"), F.col("node").alias("b")).unionByName(to_centre.select(F.col("centre").alias("a"), F.col("node").alias("b")))
+    links = materialise(_verified(pairs.where("a != b").distinct(), sets, percent))
     comp = components(links)
-
-    def split(comp: DataFrame) -> DataFrame:
-        """Rows of the buckets that hold several components, with their root."""
-        now = rows.join(comp.select(F.col("a").alias("node"), F.col("b").alias("up")), "node", "left").withColumn("root", F.coalesce("up", "node")).drop("up")
-        several = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-        return materialise(now.join(several, "key", "left_semi"))
-
-    now = split(comp)
-    often = now.groupBy("node").agg(F.count("*").alias("n_keys"))
-    centre = now.join(often, "node").groupBy("key").agg(F.max(F.struct("n_keys", "node"))["node"].alias("centre"))
-    spokes = now.join(centre, "key").where("node != centre and node != hub and centre != hub")
-    spokes = spokes.select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
-    more = materialise(_verified(spokes, sets))
-    drop(now, comp)
-    comp = components(links.unionByName(more))
-    drop(links, more)
-
-    now = split(comp)
-    left = materialise(now.select("node", "size", "root").distinct())
-    proposed = materialise(_proposed(_prefixes(left, sets)))
-    more = materialise(_verified(proposed, sets))
-    drop(rows, now, left, proposed, sets)
+    drop(links)
+
+    now = rows.join(comp.select(F.col("a").alias("node"), F.col("b").alias("up")), "node", "left").withColumn("root", F.coalesce("up", "node")).drop("up")
+    several = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    left = materialise(now.join(several, "key", "left_semi").select("node", "size", "root").distinct())
+    proposed = materialise(_proposed(_prefixes(left, sets, percent), percent))
+    more = materialise(_verified(proposed, sets, percent))
+    drop(rows, left, proposed, sets)
     if not more.isEmpty():
         last, comp = comp, components(comp.unionByName(more))
         drop(last)
     drop(more)
 
     rooted = named.join(comp.select(F.col("a").alias("node"), F.col("b").alias("up")), "node", "left")
-    rooted = rooted.select("digest", F.coalesce("up", "node").alias("component_id"))
-    out = materialise(prints.select("doc_id", "digest").join(rooted, "digest").select("doc_id", "component_id"))
+    rooted = rooted.select("digest", F.coalesce("up", "node").alias("root"))
+    found = F.col("root") if empty_alike else F.when(F.col("size") > 0, F.col("root")).otherwise(F.col("doc_id"))
+    out = materialise(prints.select("doc_id", "digest", "size").join(rooted, "digest").select("doc_id", F.col("size").alias("n_shingles"), found.alias("component_id")))
     drop(prints, named, comp)
     return out
+
+
+def minhash_components(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """``docs(doc_id, text)`` -> ``(doc_id, n_shingles, component_id, kept)`` for every row.
+
+    A document's set holds its distinct five-word shingles, A-Z lower-cased (the whole sequence where it has fewer
+    words); documents link where their sets' similarity is ``percent`` hundredths or more.  ``component_id`` is the smallest
+    doc_id reachable; ``kept`` says that it is the row's own.  Null and empty texts have empty sets and are linked
+    with nothing.  Repeated rows are linked, and all rows of a kept doc_id are kept.  Rows without doc_id lend their links
+    to others but name no component: theirs is null where no doc_id is reached, and they aren't kept.  An empty table gives no rows.
+    """
+    rows = numbered(docs.select("doc_id", "text"))
+    found = near_components(rows.select(F.col("_row").alias("doc_id"), "text"), percent, empty_alike=False)
+    found = materialise(rows.select("_row", F.col("doc_id").alias("id")).join(found.withColumnRenamed("doc_id", "_row"), "_row"))
+    drop(rows)
+    least = found.groupBy("component_id").agg(F.min("id").alias("least"))
+    out = found.join(least, "component_id")
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", F.col("least").alias("component_id"), F.coalesce(F.col("id") == F.col("least"), F.lit(False)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """One row of each group of near-duplicates: that of the smallest doc_id, then the first one; all columns stay.
+
+    Texts without words are alike.  Rows without doc_id lead only where their whole group has none; repeated rows are alike.
+    """
+    row = free_name(docs, "_row")
+    rows = numbered(docs, row)
+    found = near_components(rows.select(F.col(row).alias("doc_id"), "text"), percent)
+    out = materialise(leaders(rows, found, row).select(*docs.columns))
+    drop(rows, found)
+    return out

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alignlake.llm import byte_bpe, nearest, packing, quality, rules, simhash, substring, suffixes, token_counts, url_filter
+from alignlake.llm import byte_bpe, near, nearest, packing, phrases, quality, rules, simhash, substring, suffixes, token_counts, url_filter
 from alignlake.llm.common import table
 
 
@@ -69,6 +69,16 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "stripped.n_bytes", "stripped.n_removed", "stripped.n_spans", digest)
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of each document; null and empty texts are linked with nothing, repeated rows with each other."""
+    return near.minhash_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's best phrases; null texts are empty, null languages ``und``, repeated rows count each."""
+    return phrases.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -82,6 +92,8 @@ QUERIES = {
         op8_byte_bpe,
         op9_simhash,
         op10_suffix_dedup,
+        op11_minhash,
+        op12_collocations,
     )
 }
 
@@ -144,4 +156,39 @@ SELECT d.doc_id, (length(d.x) // 2)::BIGINT AS n_bytes, coalesce(s.n_removed, 0)
        sha256(unhex(coalesce(s.kept, d.x))) AS kept_sha256
 FROM d LEFT JOIN s USING (r)"""
 
-ORACLES = {"op1_substring_dedup": _OP1, "op6_quality_rules": _OP6, "op10_suffix_dedup": _OP10}
+_OP11 = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT DISTINCT r, array_to_string(ws[i:i + 4], ' ') AS gram FROM (SELECT r, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM d WHERE len(ws) > 0)),
+n AS (SELECT r, count(*) AS n FROM g GROUP BY r),
+k AS MATERIALIZED (SELECT r, hash(gram) AS gram FROM g),
+met AS (SELECT a.r AS a, b.r AS b, count(*) AS same FROM k a JOIN k b ON a.gram = b.gram AND a.r < b.r GROUP BY ALL),
+link AS (SELECT a, b FROM met JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * same >= 85 * (x.n + y.n - same)),
+edge AS MATERIALIZED (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT DISTINCT a AS r, a AS to_ FROM edge UNION SELECT reach.r, edge.b FROM reach JOIN edge ON edge.a = reach.to_),
+least AS (SELECT reach.r, min(d.doc_id) AS least FROM reach JOIN d ON d.r = to_ GROUP BY reach.r)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(least, doc_id) AS component_id, doc_id = coalesce(least, doc_id) AS kept
+FROM d LEFT JOIN n USING (r) LEFT JOIN least USING (r)"""
+
+_OP12 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT r, lang, unnest(regexp_extract_all(text, '[^.,;:!?\x0A-\x0D]+')) AS piece FROM d),
+w AS (SELECT row_number() OVER () AS p, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+g AS (SELECT p, lang, unnest(range(1, len(ws) + 1)) AS i, ws FROM w),
+one AS (SELECT lang, ws[i] AS x, count(*) AS f FROM g GROUP BY ALL),
+two AS (SELECT lang, ws[i] AS x, ws[i + 1] AS y, count(*) AS f FROM g WHERE i < len(ws) GROUP BY ALL HAVING f >= 10),
+three AS (SELECT lang, ws[i] AS x, ws[i + 1] AS y, ws[i + 2] AS z, count(*) AS f FROM g WHERE i + 1 < len(ws) GROUP BY ALL HAVING f >= 10),
+inside AS (SELECT lang, x, y, max(f) AS most FROM (SELECT lang, x, y, f FROM three UNION ALL SELECT lang, y, z, f FROM three) GROUP BY ALL),
+s2 AS (SELECT two.lang, two.x || ' ' || two.y AS phrase, two.f AS a, l.f AS l, r.f AS r, 1000000::HUGEINT * two.f * two.f // (l.f::HUGEINT * r.f) AS score
+       FROM two JOIN one l ON l.lang = two.lang AND l.x = two.x JOIN one r ON r.lang = two.lang AND r.x = two.y
+       LEFT JOIN inside i ON i.lang = two.lang AND i.x = two.x AND i.y = two.y WHERE i.most IS NULL OR 100 * i.most < 50 * two.f),
+c3 AS (SELECT t.lang, t.x || ' ' || t.y || ' ' || t.z AS phrase, t.f AS a, l1.f AS l1, r1.f AS r1, l2.f AS l2, r2.f AS r2,
+              1000000::HUGEINT * t.f * t.f // (l1.f::HUGEINT * r1.f) AS s1, 1000000::HUGEINT * t.f * t.f // (l2.f::HUGEINT * r2.f) AS s2
+       FROM three t JOIN one l1 ON l1.lang = t.lang AND l1.x = t.x JOIN two r1 ON r1.lang = t.lang AND r1.x = t.y AND r1.y = t.z
+       JOIN two l2 ON l2.lang = t.lang AND l2.x = t.x AND l2.y = t.y JOIN one r2 ON r2.lang = t.lang AND r2.x = t.z),
+best AS (SELECT * FROM s2 UNION ALL SELECT lang, phrase, a, CASE WHEN s1 <= s2 THEN l1 ELSE l2 END, CASE WHEN s1 <= s2 THEN r1 ELSE r2 END, least(s1, s2) FROM c3),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM one GROUP BY lang)
+SELECT lang, rank, phrase, a, l, r, n.n, score::BIGINT AS score FROM ranked JOIN n USING (lang) WHERE rank <= 2000"""
+
+ORACLES = {"op1_substring_dedup": _OP1, "op6_quality_rules": _OP6, "op10_suffix_dedup": _OP10, "op11_minhash": _OP11, "op12_collocations": _OP12}
