@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alignlake.llm import byte_bpe, near, nearest, packing, phrases, quality, rules, simhash, substring, suffixes, token_counts, url_filter
+from alignlake.llm import byte_bpe, codes, near, nearest, packing, phrases, quality, rules, simhash, substring, suffixes, token_counts, url_filter
 from alignlake.llm.common import table
 
 
@@ -79,6 +79,11 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and error of each vector; null and non-finite vectors take no part, null labels are one label, repeated rows count each."""
+    return codes.compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -94,6 +99,7 @@ QUERIES = {
         op10_suffix_dedup,
         op11_minhash,
         op12_collocations,
+        op13_vector_codes,
     )
 }
 
@@ -191,4 +197,27 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a
 n AS (SELECT lang, sum(f)::BIGINT AS n FROM one GROUP BY lang)
 SELECT lang, rank, phrase, a, l, r, n.n, score::BIGINT AS score FROM ranked JOIN n USING (lang) WHERE rank <= 2000"""
 
-ORACLES = {"op1_substring_dedup": _OP1, "op6_quality_rules": _OP6, "op10_suffix_dedup": _OP10, "op11_minhash": _OP11, "op12_collocations": _OP12}
+
+
+def _op13(rounds: int = 6) -> str:
+    """The rounds spelled out one after the other."""
+    sql = """
+WITH e AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, label, [floor(4096 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+x AS MATERIALIZED (SELECT r, p, list_slice(v, p * len(v) // 8 + 1, (p + 1) * len(v) // 8) AS v FROM e, range(8) AS t(p)),
+c0 AS (SELECT p, i, v FROM x JOIN (SELECT r, row_number() OVER (ORDER BY vec_id) - 1 AS i FROM e QUALIFY i < 16) USING (r))"""
+    for t in range(rounds + 1):
+        sql += f""",
+a{t} AS MATERIALIZED (SELECT r, p, min(list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(x.v, c.v)])::HUGEINT * 16 + i) AS best FROM x JOIN c{t} AS c USING (p) GROUP BY r, p)"""
+        if t < rounds:
+            sql += f""",
+s{t} AS (SELECT p, (best % 16)::BIGINT AS i, j, sum(v[j])::BIGINT AS s, count(*) AS n FROM (SELECT x.p, best, v, unnest(range(1, len(v) + 1)) AS j FROM x JOIN a{t} USING (r, p)) GROUP BY ALL),
+m{t} AS (SELECT p, i, list((s - ((s % n) + n) % n) // n ORDER BY j) AS v FROM s{t} GROUP BY p, i),
+c{t + 1} AS MATERIALIZED (SELECT p, i, coalesce(m.v, c.v) AS v FROM c{t} AS c LEFT JOIN m{t} AS m USING (p, i))"""
+    return sql + f""",
+f AS (SELECT r, string_agg(printf('%02x', (best % 16)::BIGINT), '' ORDER BY p) AS code, sum(best // 16)::BIGINT AS error FROM a{rounds} GROUP BY r),
+h AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, i)) AS codebooks_sha256 FROM c{rounds})
+SELECT vec_id, label, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM e JOIN f USING (r), h"""
+
+
+ORACLES = {"op1_substring_dedup": _OP1, "op6_quality_rules": _OP6, "op10_suffix_dedup": _OP10, "op11_minhash": _OP11, "op12_collocations": _OP12, "op13_vector_codes": _op13()}
