@@ -28,6 +28,8 @@ SAMPLE, MOST_CELLS, CELL_ROWS = 20_000, 4096, 512
 BLOCK_ROWS, QUERY_ROWS = 4096, 4096
 #: Confidence of the stopping test.
 CONFIDENCE = 0.95
+#: Squared length from which vectors aren't projected (sums of squares may overflow): every query is compared with them.
+LOUD = 1e280
 #: Cells that a query visits in its first round, and how many times more in each round after it.
 FIRST_VISITS, MORE = 1, 4
 
@@ -101,7 +103,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & fine)
 
 
-def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 20, every: int = 20, cell_rows: int = CELL_ROWS) -> DataFrame:
     """The ``k`` vectors of largest inner product for each row whose vec_id is divisible by ``every``.
 
     ``vectors(vec_id, embedding)`` -> ``(query_id, rank from 1, vec_id, score)``, ties to the smaller
@@ -109,20 +111,22 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     Every row counts: rows of one vec_id are candidates of each other, and each of them asks.  Vectors
     of different lengths have no inner product, so each length is searched by itself.  Equal vectors are
     searched once and spelled out at the end, so a vector with many copies costs no more than another.
-    Empty tables give no rows.
+    Vectors too long to be squared are in a cell of their own that every query visits.  Products that overflow are
+    infinite; where both infinities meet, the product counts as the lowest.  Empty tables give no rows.
     """
     small_batches(vectors.sparkSession)
     rows = numbered(usable(vectors))
     widths = sorted(r[0] for r in rows.select(F.size("v")).distinct().collect())  # a table has few lengths
-    found = [_nearest(rows.where(F.size("v") == w), k, every, w) for w in widths]
+    found = [_nearest(rows.where(F.size("v") == w), k, every, w, cell_rows) for w in widths]
     if not found:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     return reduce(DataFrame.unionByName, found)
 
 
-def _nearest(rows: DataFrame, k: int, every: int, width: int) -> DataFrame:
+def _nearest(rows: DataFrame, k: int, every: int, width: int, cell_rows: int) -> DataFrame:
     """As ``nearest`` for ``rows(_row, vec_id, v)`` whose vectors have ``width`` components."""
-    total, square = rows.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()
+    length = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    total, square = rows.agg(F.count("*"), F.coalesce(F.max(F.when(length < LOUD, length)), F.lit(0.0))).first()
     first = rows.withColumn("place", F.expr("row_number() over (partition by v order by vec_id, _row)")).where(f"place <= {k + 1}")
     first = first.withColumn("rep", F.expr("first_value(_row) over (partition by v order by vec_id, _row)"))
     first = first.withColumn("least", F.expr("first_value(vec_id) over (partition by v order by vec_id, _row)"))
@@ -137,20 +141,30 @@ def _nearest(rows: DataFrame, k: int, every: int, width: int) -> DataFrame:
         last = np.sqrt(np.maximum(square - (v * v).sum(1), 0)) if lift else np.zeros(len(v))
         return np.column_stack([v, last]) @ matrix
 
-    sample = distinct.orderBy(F.xxhash64("least"), "least", "rep").limit(SAMPLE).select("v").toArrow()["v"].combine_chunks()
-    nodes = build_tree(project(_matrix(sample), True), int(min(MOST_CELLS, max(1, total // CELL_ROWS))))
-    n_cells = len(nodes) + 1
+    def projected(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            if part.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(list(project(_matrix(part.column(0)), True)))], names=["y"])
+
+    fit = distinct.where(length < LOUD).orderBy(F.xxhash64("least"), "least", "rep").limit(SAMPLE)
+    sample = fit.select("v").mapInArrow(projected, "y array<double>").toArrow()["y"].combine_chunks()  # DIMS numbers a row
+    nodes = build_tree(_matrix(sample).reshape(-1, DIMS), int(min(MOST_CELLS, max(1, total // cell_rows))))
+    loud = len(nodes) + 1  # the cell of vectors that aren't projected
+    n_cells = loud + 1
 
     def cells(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             if part.num_rows:
-                y = project(_matrix(part.column(2)), True)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(locate(nodes, y)), pa.array(list(y))], names=["rep", "least", "v", "cell", "y"])
+                v = _matrix(part.column(2))
+                with np.errstate(over="ignore"):
+                    quiet = (v * v).sum(1) < LOUD
+                y = project(np.where(quiet[:, None], v, 0), True)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.where(quiet, locate(nodes, y), loud)), pa.array(list(y))], names=["rep", "least", "v", "cell", "y"])
 
     placed = materialise(distinct.mapInArrow(cells, "rep long, least long, v array<double>, cell long, y array<double>"))
     ends = [f(F.col("y")[i]).alias(f"{n}{i}") for n, f in (("a", F.min), ("b", F.max)) for i in range(DIMS)]
     boxes = placed.groupBy("cell").agg(F.count("*").alias("n"), *ends).collect()  # at most MOST_CELLS rows
-    low, high = np.full((n_cells, DIMS), np.inf), np.full((n_cells, DIMS), np.inf)
+    low, high = np.zeros((n_cells, DIMS)), np.zeros((n_cells, DIMS))
     blocks = np.zeros(n_cells, np.int64)
     for b in boxes:
         blocks[b["cell"]] = -(-b["n"] // BLOCK_ROWS)
@@ -166,15 +180,18 @@ def _nearest(rows: DataFrame, k: int, every: int, width: int) -> DataFrame:
                 if not part.num_rows:
                     continue
                 v, worst = _matrix(part.column(1)), part.column(2).to_numpy(zero_copy_only=False)
-                y = project(v, False)
+                with np.errstate(over="ignore", invalid="ignore"):
+                    square_v = (v * v).sum(1)
+                    y = project(np.where(square_v[:, None] < LOUD, v, np.nan), False)
                 who, where = [], []
                 for i in range(len(v)):
                     gap = np.maximum(np.maximum(low - y[i], y[i] - high), 0)
-                    bound = np.where(blocks > 0, (gap * gap).sum(1), np.inf)
-                    order = np.argsort(bound, kind="stable")
-                    true = (v[i] @ v[i]) + square - 2 * worst[i] if worst[i] == worst[i] else np.inf
+                    bound = np.nan_to_num((gap * gap).sum(1), nan=0.0)  # a query that isn't projected visits every cell
+                    bound[loud] = -1.0
+                    order = np.argsort(np.where(blocks > 0, bound, np.inf), kind="stable")
+                    true = square_v[i] + square - 2 * worst[i] if worst[i] == worst[i] else np.inf
                     order = order[skip : skip + most]
-                    order = order[(bound[order] <= reach * true) & np.isfinite(bound[order])]
+                    order = order[~(bound[order] > reach * true) & (blocks[order] > 0)]
                     who += [i] * len(order)
                     where += order.tolist()
                 take = part.take(pa.array(who, pa.int64())) if who else part.slice(0, 0)
@@ -190,7 +207,9 @@ def _nearest(rows: DataFrame, k: int, every: int, width: int) -> DataFrame:
             asks, q = left["query"].to_numpy(), _matrix(left["q"].combine_chunks())
             least = np.nan_to_num(left["worst"].to_numpy(), nan=-np.inf)  # nothing under it can be among the nearest
             for s in range(0, len(asks), 256):
-                scores = q[s : s + 256] @ v.T
+                with np.errstate(over="ignore", invalid="ignore"):
+                    scores = q[s : s + 256] @ v.T
+                scores[np.isnan(scores)] = -np.inf
                 best = np.argsort(-scores, axis=1, kind="stable")[:, : k + 1]
                 top = np.take_along_axis(scores, best, 1)
                 good = top >= least[s : s + 256, None]

@@ -6,17 +6,20 @@ inside each bucket, batches hold as many padded rows as the token budget allows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from alignlake.scratch import materialise
-
+from alignlake.scratch import free_name, materialise
 
 BUCKETS = 8
 TOKEN_BUDGET = 32_768
-#: Rows of a bucket that are numbered in one group.
-SHARD_ROWS = 100_000
 
 
 def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS) -> list[int]:
@@ -67,38 +70,49 @@ def word_count(docs: DataFrame) -> DataFrame:
 def histogram(measured: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(lengths, rows): all rows by exact length.  D lengths take D * (D - 1) / 2 words at least, so what
     is gathered grows at most with the square root of all words."""
-    rows = measured.groupBy("n_tokens").agg(F.count("*").alias("n")).collect()
+    rows = measured.groupBy(F.coalesce("n_tokens", F.lit(0)).alias("n_tokens")).agg(F.count("*").alias("n")).collect()
     rows.sort()
     return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
 
 
-def pack(measured: DataFrame, buckets: int = BUCKETS, budget: int = TOKEN_BUDGET, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """``measured(doc_id, n_tokens, ...)`` -> the same rows with ``bucket``, ``padded``, ``batch``.
+def pack(measured: DataFrame, buckets: int = BUCKETS, budget: int = TOKEN_BUDGET) -> DataFrame:
+    """``measured(n_tokens, ...)`` -> the same rows, all columns as they were, with ``bucket``, ``padded`` and ``batch``.
 
-    ``padded`` is the bucket's upper length; a batch holds ``max(1, budget // padded)`` rows (a longer
-    row stands alone; length zero counts as one), filled in a fixed order of hashed doc_id.  Rows of a
-    bucket are numbered in shards whose counts, summed, give each shard's first number: only the last
-    batch of a bucket is short, and no task numbers a whole bucket.  An empty table gives no rows.
+    ``padded`` is the bucket's upper length; a batch holds ``max(1, budget // padded)`` rows (a longer row stands
+    alone; length zero, and null, count as one).  Tasks number the rows of each bucket as they come and write them once; the
+    counts of the tasks, summed up, give each one's first number.  So only the last batch of a bucket is short, no row
+    moves, and no doc_id matters: rows without one, or with one that others have too, are packed like any other.  New columns
+    take underscores before their names if the table has such columns.  An empty table gives no rows.
     """
-    measured = materialise(measured.select("doc_id", "n_tokens"))  # texts are measured once
+    names = [free_name(measured, n) for n in ("bucket", "padded", "batch")]
     lengths, counts = histogram(measured)
     ends = boundaries(lengths, counts, buckets)
     if not ends:
-        return measured.select("doc_id", "n_tokens", F.lit(0).alias("bucket"), F.lit(0).cast("long").alias("padded"), F.lit(0).cast("long").alias("batch"))
-    at = F.lit(len(ends) - 1)
-    for i in range(len(ends) - 2, -1, -1):
-        at = F.when(F.col("n_tokens") <= ends[i], F.lit(i)).otherwise(at)
-    sizes = np.add.reduceat(counts, np.searchsorted(lengths, [0, *(e + 1 for e in ends[:-1])]))
-    shards = [max(1, -(-int(s) // shard_rows)) for s in sizes]
-    rows = measured.select("doc_id", "n_tokens", at.cast("int").alias("bucket"))
-    rows = rows.withColumn("spread", F.pmod(F.xxhash64("doc_id"), F.get(F.array(*map(F.lit, shards)), F.col("bucket"))))
-    of = "partition by bucket, spread"
-    rows = rows.withColumn("number", F.expr(f"row_number() over ({of} order by xxhash64(doc_id, n_tokens), doc_id, n_tokens)"))
-    before = rows.groupBy("bucket", "spread").agg(F.count("*").alias("n"))
-    first = before.withColumn("first", F.expr("sum(n) over (partition by bucket order by spread) - n")).drop("n")
-    placed = rows.join(first, ["bucket", "spread"])
-    padded = F.get(F.array(*[F.lit(int(e)).cast("long") for e in ends]), F.col("bucket"))
-    fit = F.greatest(F.lit(1), F.expr(f"{int(budget)} div greatest(padded, 1)"))
-    placed = placed.withColumn("padded", padded)
-    batch = F.floor((F.col("first") + F.col("number") - 1) / fit).cast("long")
-    return placed.select("doc_id", "n_tokens", "bucket", "padded", batch.alias("batch"))
+        return measured.select("*", *(F.lit(0).cast(t).alias(n) for n, t in zip(names, ("int", "long", "long"), strict=True)))
+    part, number = free_name(measured, "_part"), free_name(measured, "_number")
+    place = measured.columns.index("n_tokens")
+    upper = np.array(ends, np.int64)
+    given = [*measured.columns, names[0], part, number]
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(len(ends), np.int64)
+        me = TaskContext.get().partitionId()
+        for rows in parts:
+            at = np.searchsorted(upper, pc.fill_null(rows.column(place), 0).to_numpy())
+            order = np.argsort(at, kind="stable")
+            here = np.bincount(at, minlength=len(ends))
+            rank = np.empty(len(at), np.int64)
+            rank[order] = np.arange(len(at)) - np.repeat(np.cumsum(here) - here, here) + seen[at[order]]
+            seen += here
+            more = [pa.array(at.astype(np.int32)), pa.array(np.full(len(at), me, np.int32)), pa.array(rank)]
+            yield pa.RecordBatch.from_arrays([*rows.columns, *more], names=given)
+
+    kinds = StructType([*measured.schema.fields, *StructType.fromDDL(f"`{names[0]}` int, `{part}` int, `{number}` long").fields])
+    rows = materialise(measured.mapInArrow(run, kinds))
+    sizes = rows.groupBy(F.col(names[0]).alias("b"), F.col(part).alias("p")).agg(F.count("*").alias("n"))
+    first = sizes.select("b", "p", F.expr("sum(n) over (partition by b order by p) - n").alias("before"))  # a row for each task and bucket
+    placed = rows.join(first, (F.col(names[0]) == F.col("b")) & (F.col(part) == F.col("p")))
+    padded = F.get(F.array(*[F.lit(int(e)).cast("long") for e in ends]), F.col(names[0]))
+    fit = F.get(F.array(*[F.lit(max(1, budget // max(1, int(e)))).cast("long") for e in ends]), F.col(names[0]))
+    batch = F.floor((F.col("before") + F.col(number)) / fit).cast("long")
+    return placed.select(*(rows[c] for c in measured.columns), names[0], padded.alias(names[1]), batch.alias(names[2]))

@@ -25,7 +25,7 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bucket and batch of each document by its words; null and empty texts have length zero, repeated rows are packed each."""
-    return packing.pack(packing.word_count(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return packing.pack(packing.word_count(table(spark, sf_dir, "documents")).select("doc_id", "n_tokens"))
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

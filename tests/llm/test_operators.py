@@ -226,7 +226,7 @@ def test_bucket_boundaries_are_optimal():
 
 
 def test_batches_keep_every_row_and_the_budget(docs, empty):
-    rows = packing.pack(packing.word_count(docs), buckets=3, budget=500, shard_rows=10).collect()
+    rows = packing.pack(packing.word_count(docs), buckets=3, budget=500).collect()
     assert len(rows) == docs.count() and all(r.n_tokens <= r.padded for r in rows)
     sizes = Counter((r.bucket, r.padded, r.batch) for r in rows)
     for bucket in {b for b, _, _ in sizes}:
