@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -14,12 +12,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
-#: Seconds after which a written table is followed by a garbage collection of the driver.
-COLLECT_AFTER = 15.0
-_collected = [0.0]
+_SCOPES: list[Scope] = []
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+class Scope:
+    """Owner of the scratch tables that are written while it is entered: what isn't kept goes when it is left.
+
+    ``with scope(spark) as mine: out = mine.keep(materialise(...))``; a kept table belongs to the scope around it, if
+    there is one.  Results that are still to be computed from tables written inside must not outlive the scope.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, set()
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.paths.discard(_PATHS[df])
+        if len(_SCOPES) > 1:
+            _SCOPES[-2].paths.add(_PATHS[df])
+        return df
+
+    def __enter__(self) -> Scope:
+        _SCOPES.append(self)
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        _SCOPES.remove(self)
+        remove(self.spark, *self.paths)
+
+
+def scope(spark: SparkSession) -> Scope:
+    return Scope(spark)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``; what is left of it goes when the application ends.
 
@@ -34,6 +59,8 @@ def scratch_dir(spark: SparkSession) -> str:
     path = f"{base.rstrip('/')}/alignlake-{uuid.uuid4().hex}"
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    if _SCOPES:
+        _SCOPES[-1].paths.add(path)
     return path
 
 
@@ -55,19 +82,6 @@ def write(df: DataFrame, path: str, *partition_by: str) -> None:
     """Write a scratch table."""
     with freed_shuffles(df.sparkSession):
         df.write.partitionBy(*partition_by).option("compression", "zstd").parquet(path)
-    collect_now_and_then(df.sparkSession)
-
-
-def collect_now_and_then(spark: SparkSession) -> None:
-    """Let go of finished plans, generated classes and broadcasts, at most every ``COLLECT_AFTER`` seconds.
-
-    Spark's own periodic collection comes every half hour, which is too seldom for a small driver that runs many
-    short queries, and its interval can't be set in a running session.
-    """
-    if time.monotonic() - _collected[0] > COLLECT_AFTER:
-        gc.collect()
-        spark._jvm.System.gc()
-        _collected[0] = time.monotonic()
 
 
 def materialise(df: DataFrame) -> DataFrame:
