@@ -21,14 +21,30 @@ def is_gap(ch: str = "ch", gap_chars: str = GAP_CHARS) -> Column:
     return F.col(ch).isin(*gap_chars)
 
 
-def to_cells(rows: DataFrame, gap_chars: str = GAP_CHARS) -> DataFrame:
-    """Rows to cells, with gap flag and running residue index, which comes from the row itself: no shuffle."""
+def to_cells(rows: DataFrame, gap_chars: str = GAP_CHARS, col0: str | None = None, pos0: str | None = None) -> DataFrame:
+    """Rows to cells, with gap flag and running residue index, which comes from the row itself: no shuffle.
+
+    Where ``gapped`` is a later piece of a row, columns ``col0`` and ``pos0`` say how many columns and residues are before it.
+    """
+    letters, gaps, residues = _letter_arrays(gap_chars, col0, pos0)
+    more = [c for c in (col0, pos0) if c]
+    return rows.select(*_ROW, *more, letters.alias("letters")).select(*_ROW, F.inline(F.concat(residues, gaps)))
+
+
+def to_residues(rows: DataFrame, gap_chars: str = GAP_CHARS) -> DataFrame:
+    """As ``to_cells`` without gaps, which are never made."""
+    letters, _, residues = _letter_arrays(gap_chars, None, None)
+    return rows.select(*_ROW, letters.alias("letters")).select(*_ROW, F.inline(residues))
+
+
+def _letter_arrays(gap_chars: str, col0: str | None, pos0: str | None) -> tuple[Column, Column, Column]:
     gap = lambda x: x["ch"].isin(*gap_chars)
-    letters = F.transform(F.filter(F.split("gapped", ""), lambda c: c != ""), lambda c, i: F.struct(i.alias("col"), c.alias("ch")))
+    after = lambda n, x: x if n is None else F.col(n) + x
+    letters = F.transform(F.filter(F.split("gapped", ""), lambda c: c != ""), lambda c, i: F.struct(after(col0, i).alias("col"), c.alias("ch")))
     cell = lambda x, is_gap, pos: F.struct(x["col"].alias("col"), x["ch"].alias("ch"), F.lit(is_gap).alias("is_gap"), pos.cast("int").alias("pos"))
-    residues = F.transform(F.filter("letters", lambda x: ~gap(x)), lambda x, i: cell(x, False, i))
+    residues = F.transform(F.filter("letters", lambda x: ~gap(x)), lambda x, i: cell(x, False, after(pos0, i)))
     gaps = F.transform(F.filter("letters", gap), lambda x: cell(x, True, F.lit(None)))
-    return rows.select(*_ROW, letters.alias("letters")).select(*_ROW, F.inline(F.concat(residues, gaps)))
+    return letters, gaps, residues
 
 
 def running_count(df: DataFrame, keys: list[str], flag: Column, name: str) -> DataFrame:

@@ -161,14 +161,22 @@ def pair_path_stats(pairs: DataFrame) -> DataFrame:
 
 def column_profile(cells: DataFrame) -> DataFrame:
     """Share and rank of every symbol of a column; ties go to the smaller symbol."""
-    n = cells.where("not is_gap").groupBy("aln_id", "col", "ch").agg(F.count("*").alias("n"))
+    return symbol_shares(cells.where("not is_gap").groupBy("aln_id", "col", "ch").agg(F.count("*").alias("n")))
+
+
+def symbol_shares(n: DataFrame) -> DataFrame:
+    """As ``column_profile``, from counts ``(aln_id, col, ch, n)``."""
     col = W.partitionBy("aln_id", "col")
     return n.select("aln_id", "col", "ch", F.round(F.col("n") / F.sum("n").over(col), 9).alias("w"), F.row_number().over(col.orderBy(F.desc("n"), "ch")).alias("place"))
 
 
 def consensus(cells: DataFrame) -> DataFrame:
     """The commonest symbol of every column, the smaller of two as common."""
-    n = cells.where("not is_gap").groupBy("aln_id", "col", "ch").agg(F.count("*").alias("n"))
+    return commonest(cells.where("not is_gap").groupBy("aln_id", "col", "ch").agg(F.count("*").alias("n")))
+
+
+def commonest(n: DataFrame) -> DataFrame:
+    """As ``consensus``, from counts ``(aln_id, col, ch, n)``."""
     return n.groupBy("aln_id", "col").agg(F.min(F.struct((-F.col("n")).alias("k"), "ch"))["ch"].alias("ch"))
 
 

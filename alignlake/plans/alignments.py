@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from alignlake.operators import alignment as A
 from alignlake.operators import compare as C
+from alignlake.operators import packed as P
 from alignlake.operators import tables as O
 from alignlake.plans import inputs as I
 
@@ -57,23 +58,42 @@ def p4_columns_to_residues(spark, sf_dir):
 FROM cells WHERE col BETWEEN 20 AND 69)
 {I.NUMBERED}""")
 def p5_subalign_reverse(spark, sf_dir):
-    return A.subalign(I.cells(spark, sf_dir), 20, 50, "-")
+    return P.cells(P.subalign(I.parts(spark, sf_dir), 20, 50, "-"))
+
+
+@query(f"""WITH {I.ANNOTATED} SELECT aln_id, kind, row_no, name, tag, CASE kind WHEN 'row' THEN translate(reverse(substr(text, 21, 50)), 'acgtuACGTU', 'tgcaaTGCAA') ELSE reverse(substr(text, 21, 50)) END AS text FROM texts""")
+def p5_subalign_annotated(spark, sf_dir):
+    return P.unpack(P.subalign(I.annotated(spark, sf_dir), 20, 50, "-"))
+
+
+@query(f"""WITH {I.ANNOTATED}, k AS (SELECT aln_id, list(i) AS cols FROM (SELECT aln_id, text, unnest(range(1, length(text) + 1)) AS i FROM texts WHERE row_no = 1) WHERE substr(text, i::BIGINT, 1) = 'e' GROUP BY aln_id)
+SELECT aln_id, kind, row_no, name, tag, array_to_string([substr(text, i, 1) FOR i IN range(1, length(text) + 1) IF NOT coalesce(list_contains(cols, i), false)], '') AS text FROM texts LEFT JOIN k USING (aln_id)""")
+def p6_drop_columns_annotated(spark, sf_dir):
+    parts = I.annotated(spark, sf_dir)
+    return P.unpack(P.drop(parts, P.columns_where(parts.where("row_no = 1"), "e")))
+
+
+@query(f"""WITH {I.ANNOTATED}, g AS (SELECT aln_id, i, count(*) AS n, count(*) FILTER (WHERE substr(text, i::BIGINT, 1) = '-') AS gaps FROM (SELECT aln_id, text, unnest(range(1, length(text) + 1)) AS i FROM texts WHERE kind = 'row') GROUP BY ALL),
+k AS (SELECT aln_id, list(i ORDER BY i) FILTER (WHERE gaps < 0.5 * n) AS cols FROM g GROUP BY aln_id)
+SELECT aln_id, kind, row_no, name, tag, array_to_string([substr(text, i, 1) FOR i IN coalesce(cols, []) IF i <= length(text)], '') AS text FROM texts JOIN k USING (aln_id)""")
+def p10_drop_gappy_annotated(spark, sf_dir):
+    return P.unpack(P.drop_gappy(I.annotated(spark, sf_dir), 0.5))
 
 
 @kept_query("keep AS (SELECT aln_id, col FROM cells GROUP BY ALL HAVING NOT bool_or(row_no = 1 AND ch = 'e'))")
 def p6_drop_columns(spark, sf_dir):
-    cells = I.cells(spark, sf_dir)
-    return A.drop_columns(cells, cells.where("row_no = 1 and ch = 'e'").select("aln_id", "col"))
+    parts = I.parts(spark, sf_dir)
+    return P.cells(P.drop(parts, P.columns_where(parts.where("row_no = 1"), "e")))
 
 
 @kept_query("keep AS (SELECT aln_id, col FROM cells GROUP BY ALL HAVING NOT bool_and(is_gap))")
 def p7_erase_empty_columns(spark, sf_dir):
-    return A.erase_empty_columns(I.cells(spark, sf_dir))
+    return P.cells(P.erase_empty(I.parts(spark, sf_dir)))
 
 
 @kept_query("keep AS (SELECT aln_id, col FROM cells WHERE row_no = 0 AND NOT is_gap)")
 def p8_slice_by_reference(spark, sf_dir):
-    return A.slice_by_reference(I.cells(spark, sf_dir), 0)
+    return P.cells(P.slice_by_reference(I.parts(spark, sf_dir), 0))
 
 
 @query("""SELECT page_id, 'u' || page_id || '/' || length(url) || '-' || (length(url) + length(html)) AS name, 'u' || page_id AS base,
@@ -86,13 +106,14 @@ def p9_parse_coords(spark, sf_dir):
 
 @kept_query("keep AS (SELECT aln_id, col FROM cells GROUP BY ALL HAVING count(*) FILTER (WHERE is_gap) < 0.5 * count(*))")
 def p10_drop_gappy(spark, sf_dir):
-    return A.drop_gappy(I.cells(spark, sf_dir), 0.5)
+    return P.cells(P.drop_gappy(I.parts(spark, sf_dir), 0.5))
 
 
 @kept_query("keep AS (SELECT DISTINCT aln_id, col FROM cells ANTI JOIN (SELECT aln_id, col FROM cells WHERE row_no = 0 AND is_gap) x USING (aln_id, col))")
 def p11_drop_annotated_gaps(spark, sf_dir):
-    cells = I.cells(spark, sf_dir)
-    return A.drop_annotated_gaps(cells, cells.where("row_no = 0").select("aln_id", "col", "ch"))
+    rows = I.rows(spark, sf_dir)
+    note = rows.where("row_no = 0").select("aln_id", F.lit("RF").alias("tag"), F.col("gapped").alias("text"))
+    return P.cells(P.drop_annotated_gaps(P.pack(rows, note)))
 
 
 @cells_query("""SELECT a.aln_id, a.col, CASE WHEN x.col IS NOT NULL THEN '.' ELSE a.ch END AS ch FROM (SELECT * FROM cells WHERE row_no = 0) a
@@ -118,7 +139,7 @@ def p15_discard_wild(spark, sf_dir):
 e AS (SELECT aln_id, row_no, min(col) AS a, max(col) AS b FROM cells SEMI JOIN m USING (aln_id, col) WHERE NOT is_gap GROUP BY ALL),
 keep AS (SELECT DISTINCT aln_id, unnest(range(a, b + 1)) AS col FROM e)""")
 def p16_local_trim(spark, sf_dir):
-    return A.local_trim(I.cells(spark, sf_dir))
+    return P.cells(P.local_trim(I.parts(spark, sf_dir)))
 
 
 @query("SELECT conv_id, turn FROM conversations WHERE turn % 2 = 0")
@@ -126,7 +147,8 @@ def p17_thin(spark, sf_dir):
     return O.thin(I.table(spark, sf_dir, "conversations").select("conv_id", "turn"), 2, "turn")
 
 
-@cells_query("SELECT c.aln_id, c.row_no, c.name, c.col, coalesce(r.ch, c.ch) AS ch, c.is_gap, c.pos FROM cells c LEFT JOIN (SELECT aln_id, col, upper(ch) AS ch FROM cells WHERE row_no = 0) r ON c.aln_id = r.aln_id AND c.col = r.col AND c.row_no = 1")
+@cells_query(""", r AS (SELECT aln_id, col, max(upper(ch)) FILTER (WHERE row_no = 0) AS other FROM cells GROUP BY aln_id, col)
+SELECT aln_id, row_no, name, col, CASE WHEN row_no = 1 THEN coalesce(other, ch) ELSE ch END AS ch, is_gap, pos FROM cells JOIN r USING (aln_id, col)""")
 def p20_promote_annotation(spark, sf_dir):
     cells = I.cells(spark, sf_dir)
     names = cells.where("row_no = 1").select("aln_id", "name").distinct()
@@ -166,7 +188,7 @@ def p26_trim_end_gaps(spark, sf_dir):
 
 @kept_query("keep AS (SELECT aln_id, col FROM cells GROUP BY ALL HAVING count(*) FILTER (WHERE is_gap) <= 1)")
 def p27_max_gaps(spark, sf_dir):
-    return A.max_gaps(I.cells(spark, sf_dir), 1)
+    return P.cells(P.max_gaps(I.parts(spark, sf_dir), 1))
 
 
 @query(f"""WITH {I.ROWS}, o AS (SELECT name, min(length(gapped))::BIGINT AS "offset" FROM rows_ WHERE name LIKE 'user%' GROUP BY name)
@@ -188,9 +210,11 @@ _PAIRS = """p AS (SELECT x.aln_id, x.col, x.name AS n1, x.pos AS pos1, x.ch AS c
 FROM cells x JOIN cells y ON x.aln_id = y.aln_id AND x.col = y.col AND x.name < y.name AND NOT x.is_gap AND NOT y.is_gap)"""
 
 
-@cells_query(f", {_PAIRS} SELECT * FROM p")
+@cells_query(""", l AS (SELECT aln_id, col, list({'n': name, 'p': pos, 'c': ch}) AS l FROM cells WHERE NOT is_gap GROUP BY aln_id, col),
+x AS (SELECT aln_id, col, l, unnest(l) AS x FROM l), y AS (SELECT aln_id, col, x, unnest([y FOR y IN l IF y.n > x.n]) AS y FROM x)
+SELECT aln_id, col, x.n AS n1, x.p AS pos1, x.c AS ch1, y.n AS n2, y.p AS pos2, y.c AS ch2 FROM y""")
 def j1_residue_pairs(spark, sf_dir):
-    return C.residue_pairs(I.cells(spark, sf_dir))
+    return C.residue_pairs(I.residues(spark, sf_dir))
 
 
 _SETS = f"""WITH {I.CELLS_B},
@@ -222,7 +246,7 @@ def j4_column_overlap(spark, sf_dir):
 @cells_query(f""", {_PAIRS}, i AS (SELECT aln_id, n1, n2, count(*) AS aligned, count(*) FILTER (WHERE ch1 = ch2) AS same FROM p GROUP BY ALL)
 SELECT *, round(100 * same / aligned, 9) AS identity FROM i WHERE round(100 * same / aligned, 9) BETWEEN 8 AND 12""")
 def j6_split_pairs(spark, sf_dir):
-    return C.split_pairs(I.cells(spark, sf_dir), 8, 12)
+    return C.split_pairs(I.residues(spark, sf_dir), 8, 12)
 
 
 @query(f"""WITH {I.ROWS}, w AS (SELECT aln_id, max(length(gapped)) AS wx, max(length(replace(gapped, '-', ''))) AS wy FROM rows_ GROUP BY aln_id),
@@ -234,20 +258,30 @@ def j9_concatenate(spark, sf_dir):
     return A.concatenate(rows.where("row_no < 3"), rows.where("row_no > 0"))
 
 
+@query(f"""WITH {I.ANNOTATED}, a AS (SELECT * FROM texts WHERE kind = 'col' OR name LIKE 'user%' OR row_no = 1), b AS (SELECT * FROM texts WHERE kind <> 'col' AND name NOT LIKE 'user-0%'),
+wa AS (SELECT aln_id, max(length(text)) AS w FROM a WHERE kind = 'row' GROUP BY aln_id), wb AS (SELECT aln_id, max(length(text)) AS w FROM b WHERE kind = 'row' GROUP BY aln_id),
+j AS (SELECT coalesce(a.aln_id, b.aln_id) AS aln_id, coalesce(a.kind, b.kind) AS kind, coalesce(a.row_no, b.row_no) AS row_no, coalesce(a.name, b.name) AS name, coalesce(a.tag, b.tag) AS tag, a.text AS x, b.text AS y
+ FROM a FULL JOIN b ON a.aln_id = b.aln_id AND a.kind = b.kind AND a.name IS NOT DISTINCT FROM b.name AND a.tag IS NOT DISTINCT FROM b.tag)
+SELECT aln_id, kind, row_no, name, tag, rpad(coalesce(x, ''), coalesce(wa.w, 0)::INTEGER, '.') || rpad(coalesce(y, ''), coalesce(wb.w, 0)::INTEGER, '.') AS text FROM j LEFT JOIN wa USING (aln_id) LEFT JOIN wb USING (aln_id)""")
+def j9_concatenate_annotated(spark, sf_dir):
+    texts = P.unpack(I.annotated(spark, sf_dir))
+    return P.concatenate(texts.where("kind = 'col' or name like 'user%' or row_no = 1"), texts.where("kind != 'col' and name not like 'user-0%'"))
+
+
 @query(f"WITH {I.ROWS}, o AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY aln_id, row_no) AS k FROM rows_) SELECT name, aln_id, row_no FROM o WHERE k = 1")
 def j10_find_row(spark, sf_dir):
     return A.find_row(I.rows(spark, sf_dir))
 
 
-@cells_query("""SELECT a.aln_id, a.col, a.ch AS actual, b.ch AS predicted, a.ch = b.ch AS equal
-FROM cells a JOIN cells b ON a.aln_id = b.aln_id AND a.col = b.col AND a.row_no = 0 AND b.row_no = 1""")
+@cells_query(""", n AS (SELECT aln_id, col, max(ch) FILTER (WHERE row_no = 0) AS actual, max(ch) FILTER (WHERE row_no = 1) AS predicted FROM cells GROUP BY aln_id, col)
+SELECT *, actual = predicted AS equal FROM n WHERE actual IS NOT NULL AND predicted IS NOT NULL""")
 def j12_compare_annotation(spark, sf_dir):
     cells = I.cells(spark, sf_dir).select("aln_id", "row_no", "col", "ch")
     return O.compare_annotation(cells.where("row_no = 0"), cells.where("row_no = 1"))
 
 
-@cells_query(""", q AS (SELECT x.aln_id, x.row_no AS r, x.pos AS x, y.pos AS y FROM cells x JOIN cells y ON x.aln_id = y.aln_id AND x.col = y.col AND y.row_no = x.row_no + 1 AND NOT x.is_gap AND NOT y.is_gap),
-l AS (SELECT aln_id, x AS a, y AS b FROM q WHERE r = 0), m AS (SELECT aln_id, x AS b, y AS c FROM q WHERE r = 1)
+@cells_query(""", q AS (SELECT aln_id, max(pos) FILTER (WHERE row_no = 0) AS p0, max(pos) FILTER (WHERE row_no = 1) AS p1, max(pos) FILTER (WHERE row_no = 2) AS p2 FROM cells GROUP BY aln_id, col),
+l AS (SELECT aln_id, p0 AS a, p1 AS b FROM q WHERE p0 IS NOT NULL AND p1 IS NOT NULL), m AS (SELECT aln_id, p1 AS b, p2 AS c FROM q WHERE p1 IS NOT NULL AND p2 IS NOT NULL)
 SELECT coalesce(l.aln_id, m.aln_id) AS aln_id, a, coalesce(l.b, m.b) AS b, c FROM l FULL JOIN m ON l.aln_id = m.aln_id AND l.b = m.b""")
 def j16_compose_pairs(spark, sf_dir):
     cells = I.cells(spark, sf_dir).where("not is_gap")
@@ -271,7 +305,7 @@ per AS (SELECT aln_id, col, coalesce(max(n) FILTER (WHERE NOT is_gap), 0) AS top
 
 @cells_query(f", {_SHARE} SELECT aln_id, round(100 * avg(CASE WHEN top > 1 THEN top ELSE 0 END / residues), 9) AS percent_id FROM per WHERE residues > 1 GROUP BY ALL")
 def a9_percent_identity(spark, sf_dir):
-    return C.percent_identity(I.cells(spark, sf_dir))
+    return C.percent_identity(I.residues(spark, sf_dir))
 
 
 @cells_query(f", {_SHARE} SELECT aln_id, round(100 * avg(CASE WHEN top > 1 THEN top ELSE 0 END / rows_), 9) AS percent_id FROM per WHERE residues > 0 GROUP BY ALL")
@@ -282,7 +316,7 @@ def a9_percent_identity_with_gaps(spark, sf_dir):
 @cells_query(f""", {_PAIRS}, i AS (SELECT aln_id, n1, n2, 100 * count(*) FILTER (WHERE ch1 = ch2) / count(*) AS id FROM p GROUP BY ALL)
 SELECT aln_id, round(avg(id), 9) AS percent_id, count(*) AS n_pairs FROM i GROUP BY ALL""")
 def a10_percent_identity_pairwise(spark, sf_dir):
-    return C.percent_identity_pairwise(I.cells(spark, sf_dir))
+    return C.percent_identity_pairwise(I.residues(spark, sf_dir))
 
 
 _TOP = "n AS (SELECT aln_id, col, ch, count(*) AS n FROM cells WHERE NOT is_gap GROUP BY ALL)"
@@ -290,22 +324,22 @@ _TOP = "n AS (SELECT aln_id, col, ch, count(*) AS n FROM cells WHERE NOT is_gap
 
 @cells_query(f", {_TOP}, o AS (SELECT *, row_number() OVER (PARTITION BY aln_id, col ORDER BY n DESC, ch) AS k FROM n) SELECT aln_id, col, ch FROM o WHERE k = 1")
 def a11_majority_annotation(spark, sf_dir):
-    return C.majority_annotation(I.cells(spark, sf_dir).where("not is_gap").select("aln_id", "col", "ch"))
+    return C.commonest(P.symbol_counts(I.parts(spark, sf_dir)))
 
 
 @cells_query(f", {_TOP} SELECT aln_id, col, ch, round(n / sum(n) OVER (PARTITION BY aln_id, col), 9) AS w, row_number() OVER (PARTITION BY aln_id, col ORDER BY n DESC, ch)::INTEGER AS place FROM n")
 def a12_column_profile(spark, sf_dir):
-    return C.column_profile(I.cells(spark, sf_dir))
+    return C.symbol_shares(P.symbol_counts(I.parts(spark, sf_dir)))
 
 
 @cells_query(f", {_TOP}, o AS (SELECT *, row_number() OVER (PARTITION BY aln_id, col ORDER BY n DESC, ch) AS k FROM n) SELECT aln_id, col, ch FROM o WHERE k = 1")
 def a13_consensus(spark, sf_dir):
-    return C.consensus(I.cells(spark, sf_dir))
+    return C.commonest(P.symbol_counts(I.parts(spark, sf_dir)))
 
 
 @cells_query(", n AS (SELECT aln_id, col, count(*) AS n FROM cells WHERE NOT is_gap GROUP BY ALL) SELECT aln_id, sum(n * (n - 1) // 2)::BIGINT AS n_pairs FROM n GROUP BY ALL")
 def a15_residue_pair_count(spark, sf_dir):
-    return C.residue_pair_count(I.cells(spark, sf_dir))
+    return C.residue_pair_count(I.residues(spark, sf_dir))
 
 
 @query(_SETS + """, b AS (SELECT aln_id, count(*) FILTER (WHERE NOT is_gap) AS residues, count(DISTINCT name) AS rows_ FROM cells GROUP BY ALL HAVING residues > 0),
@@ -325,18 +359,18 @@ def compare_alignments(spark, sf_dir):
 
 @cells_query(f", {_PAIRS} SELECT aln_id, n1, n2, ch1, ch2, count(*) AS n FROM p GROUP BY ALL")
 def a23_substitution_counts(spark, sf_dir):
-    return C.substitution_counts(I.cells(spark, sf_dir))
+    return C.substitution_counts(I.residues(spark, sf_dir))
 
 
 @cells_query(f""", {_PAIRS}, d AS (SELECT aln_id, n1, n2, count(*) FILTER (WHERE ch1 <> ch2) / count(*) AS p FROM p GROUP BY ALL)
 SELECT aln_id, n1, n2, round(p, 9) AS p_distance, CASE WHEN p < 0.75 THEN round(-0.75 * ln(1 - p * 4 / 3), 9) END AS jukes_cantor FROM d""")
 def a24_pairwise_distance(spark, sf_dir):
-    return C.pairwise_distance(C.substitution_counts(I.cells(spark, sf_dir)))
+    return C.pairwise_distance(C.substitution_counts(I.residues(spark, sf_dir)))
 
 
 @cells_query(f", {_PAIRS} SELECT aln_id, n1, n2, count(*) AS n_match, round(avg(pos1 - pos2), 9) AS shift FROM p GROUP BY ALL")
 def a33_pair_path_stats(spark, sf_dir):
-    return C.pair_path_stats(C.residue_pairs(I.cells(spark, sf_dir)))
+    return C.pair_path_stats(C.residue_pairs(I.residues(spark, sf_dir)))
 
 
 @cells_query("SELECT aln_id, count(DISTINCT row_no) AS n_rows, (max(col) + 1)::BIGINT AS n_cols, count(*) FILTER (WHERE NOT is_gap) AS n_residues FROM cells GROUP BY ALL")

@@ -84,7 +84,7 @@ def a20_majority_structure(spark, sf_dir):
     return N.majority_structure(_bp(spark, sf_dir), I.cells(spark, sf_dir))
 
 
-@query(f"{_BP}, {_LIBERAL} SELECT p.aln_id, a.row_no, lcol, rcol FROM liberal p JOIN full_ a ON a.aln_id = p.aln_id AND a.col = lcol JOIN full_ b ON b.aln_id = p.aln_id AND b.col = rcol AND a.row_no = b.row_no")
+@query(f"{_BP}, {_LIBERAL} SELECT aln_id, row_no, lcol, rcol FROM liberal JOIN rows_ USING (aln_id) WHERE substr(gapped, lcol + 1, 1) BETWEEN 'a' AND 'z' AND substr(gapped, rcol + 1, 1) BETWEEN 'a' AND 'z'")
 def a21_propagate_structure(spark, sf_dir):
     return N.propagate_structure(N.liberal_structure(_bp(spark, sf_dir)), I.cells(spark, sf_dir))
 

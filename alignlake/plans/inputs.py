@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alignlake.operators.alignment import to_cells
+from alignlake.operators.alignment import to_cells, to_residues
+from alignlake.operators.packed import pack
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +41,24 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_cells(rows(spark, sf_dir))
 
 
+def residues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells that aren't gaps."""
+    return to_residues(rows(spark, sf_dir))
+
+
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows in blocks of columns, without annotations."""
+    return pack(rows(spark, sf_dir))
+
+
+def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows in blocks, the first row in upper case as column annotation ``RF``, the others with ``q`` for a-m as annotations ``PP`` of themselves."""
+    all_ = rows(spark, sf_dir)
+    column = all_.where("row_no = 0").select("aln_id", F.lit("RF").alias("tag"), F.upper("gapped").alias("text"))
+    cell = all_.where("row_no > 0").select("aln_id", "name", F.lit("PP").alias("tag"), F.regexp_replace("gapped", "[a-m]", "q").alias("text"))
+    return pack(all_, column, cell)
+
+
 def cells_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_cells(rows_b(spark, sf_dir))
 
@@ -60,6 +79,9 @@ def cells_sql(name: str = "cells", source: str = "rows_") -> str:
 {name} AS MATERIALIZED (SELECT *, ch = '-' AS is_gap, CASE WHEN ch <> '-' THEN (count(*) FILTER (WHERE ch <> '-') OVER (PARTITION BY aln_id, row_no, name ORDER BY col) - 1)::INTEGER END AS pos FROM {name}_0)"""
 
 
+ANNOTATED = ROWS + """,
+texts AS (SELECT aln_id, 'row' AS kind, row_no, name, NULL::VARCHAR AS tag, gapped AS text FROM rows_ UNION ALL SELECT aln_id, 'col', NULL, NULL, 'RF', upper(gapped) FROM rows_ WHERE row_no = 0
+UNION ALL SELECT aln_id, 'cell', NULL, name, 'PP', regexp_replace(gapped, '[a-m]', 'q', 'g') FROM rows_ WHERE row_no > 0)"""
 CELLS = ROWS + ",\n" + cells_sql()
 ROWS_B = ROWS + ",\nrows_b AS (SELECT aln_id, row_no, name, CASE WHEN row_no % 2 = 1 THEN '-' || gapped ELSE gapped || '-' END AS gapped FROM rows_)"
 CELLS_B = ROWS_B + ",\n" + cells_sql() + ",\n" + cells_sql("cells_b", "rows_b")
