@@ -19,7 +19,7 @@ from alignlake.llm.anchors import combine
 from alignlake.llm.common import map_texts, small_batches
 from alignlake.llm.components import components
 from alignlake.llm.simhash import leaders
-from alignlake.llm.sketch import bands
+from alignlake.llm.sketch import bands, shape
 from alignlake.scratch import drop, free_name, materialise, numbered
 
 SHINGLE = 5
@@ -52,6 +52,11 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * same >= percent * (len(both) - same)
 
 
+def _grows(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the corpus: never broadcast, so the plan is the same at every size."""
+    return df.hint("merge")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The distinct ``pairs(a, b)`` whose sets are alike enough.
 
@@ -59,9 +64,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     and a task streams a block past it, so neither side is held whole.
     """
     blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"))
-    dealt = pairs.join(blocks, "a").select("a", "b", F.pmod(F.xxhash64("b"), "blocks").alias("block"))
-    left = dealt.select("a", "block").distinct().join(sets.withColumnRenamed("node", "a"), "a").select("a", "block", F.lit(None).cast("long").alias("b"), "found")
-    right = dealt.join(sets.withColumnRenamed("node", "b"), "b").select("a", "block", "b", "found")
+    dealt = pairs.join(_grows(blocks), "a").select("a", "b", F.pmod(F.xxhash64("b"), "blocks").alias("block"))
+    left = dealt.select("a", "block").distinct().join(_grows(sets.withColumnRenamed("node", "a")), "a").select("a", "block", F.lit(None).cast("long").alias("b"), "found")
+    right = dealt.join(_grows(sets.withColumnRenamed("node", "b")), "b").select("a", "block", "b", "found")
     met = left.unionByName(right).repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,11 +100,11 @@ def _prefixes(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 for s in range(0, len(tokens), 1 << 16):
                     yield pa.RecordBatch.from_arrays([pa.repeat(part.column(0)[i], len(tokens[s : s + (1 << 16)])), pa.array(tokens[s : s + (1 << 16)])], names=["node", "token"])
 
-    tokens = sets.join(nodes.select("node"), "node", "left_semi").select("node", "found").mapInArrow(run, "node long, token long")
+    tokens = sets.join(_grows(nodes.select("node")), "node", "left_semi").select("node", "found").mapInArrow(run, "node long, token long")
     shared = tokens.groupBy("token").agg(F.count("*").alias("n"))
-    ranked = tokens.join(shared, "token").withColumn("at", F.expr("row_number() over (partition by node order by n, token)"))
+    ranked = tokens.join(_grows(shared), "token").withColumn("at", F.expr("row_number() over (partition by node order by n, token)"))
     first = F.expr(f"size - (({percent} * size + 99) div 100) + 1")
-    return ranked.join(nodes, "node").where((F.col("n") > 1) & (F.col("at") <= first)).select("token", "node", "size", "root", "at")
+    return ranked.join(_grows(nodes), "node").where((F.col("n") > 1) & (F.col("at") <= first)).select("token", "node", "size", "root", "at")
 
 
 def _proposed(prefixes: DataFrame, percent: int) -> DataFrame:
@@ -116,10 +121,11 @@ def near_components(docs: DataFrame, percent: int = PERCENT, empty_alike: bool =
     ``component_id`` is the smallest doc_id reachable over links of ``percent`` hundredths of similarity or more.
     Rows of equal sets are one node; texts without words (null among them) are all one, or, unless ``empty_alike``,
     linked with nothing.  An empty table gives no rows.  In each bucket every node is compared with the smallest one
-    and with the one that stands in most buckets.  Nodes of buckets that still hold several components meet by an
-    exact prefix filter over their whole sets, so the unlike texts of a large group with much in common are never paired.
+    and with that of all others which stands in most buckets, which settles buckets of three.  Nodes of larger buckets that still hold
+    several components meet by an exact prefix filter over their whole sets, so the unlike texts of a large group with much in common are never paired.
     """
     small_batches(docs.sparkSession)
+    form = shape(percent)
 
     def each(keys: list, texts: list) -> dict[str, list]:
         sets = [shingles(t) for t in texts]
@@ -127,37 +133,35 @@ def near_components(docs: DataFrame, percent: int = PERCENT, empty_alike: bool =
             "doc_id": keys,
             "digest": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
             "size": list(map(len, sets)),
-            "keys": [bands(s) for s in sets],
+            "keys": [bands(s, *form) for s in sets],
         }
 
     prints = materialise(map_texts(docs, each, "doc_id long, digest binary, size long, keys array<long>"))
     named = materialise(prints.select("doc_id", "digest").groupBy("digest").agg(F.min("doc_id").alias("node")))
-    nodes = prints.join(named.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+    nodes = prints.join(_grows(named.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi")
     rows = nodes.select(F.col("doc_id").alias("node"), "size", F.explode("keys").alias("key"))
-    mark = F.xxhash64("node")
-    met = rows.groupBy("key").agg(
-        F.count("*").alias("n"), F.min("node").alias("hub"), F.bit_xor(mark).alias("m1"), F.sum(mark.cast("decimal(38,0)")).alias("m2")
-    )
+    mark = lambda i: F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"m{i}")
+    met = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub"), mark(1), mark(2))
     # Buckets with the same nodes propose the same pairs: one of them is enough.
-    buckets = met.where("n > 1").groupBy("n", "hub", "m1", "m2").agg(F.min("key").alias("key")).select("key", "hub")
-    rows = materialise(rows.join(buckets, "key"))
+    buckets = met.where("n > 1").groupBy("n", "hub", "m1", "m2").agg(F.min("key").alias("key")).select("key", "hub", "n")
+    rows = materialise(rows.join(_grows(buckets), "key"))
     wanted = rows.select(F.col("node").alias("doc_id")).distinct()
 
     def whole(keys: list, texts: list) -> dict[str, list]:
         return {"node": keys, "found": [shingles(t).tobytes() for t in texts]}
 
-    sets = materialise(map_texts(docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text"), whole, "node long, found binary"))
+    sets = materialise(map_texts(docs.join(_grows(wanted), "doc_id", "left_semi").select("doc_id", "text"), whole, "node long, found binary"))
     often = rows.groupBy("node").agg(F.count("*").alias("n_keys"))
-    centre = rows.join(often, "node").groupBy("key").agg(F.max(F.struct("n_keys", "node"))["node"].alias("centre"))
-    to_centre = rows.join(centre.withColumnRenamed("key", "k"), F.col("key") == F.col("k"))
+    centre = rows.where("node != hub").join(_grows(often), "node").groupBy("key").agg(F.max(F.struct("n_keys", "node"))["node"].alias("centre"))
+    to_centre = rows.join(_grows(centre.withColumnRenamed("key", "k")), F.col("key") == F.col("k"))
     pairs = rows.select(F.col("hub").alias("a"), F.col("node").alias("b")).unionByName(to_centre.select(F.col("centre").alias("a"), F.col("node").alias("b")))
     links = materialise(_verified(pairs.where("a != b").distinct(), sets, percent))
     comp = components(links)
     drop(links)
 
-    now = rows.join(comp.select(F.col("a").alias("node"), F.col("b").alias("up")), "node", "left").withColumn("root", F.coalesce("up", "node")).drop("up")
-    several = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    left = materialise(now.join(several, "key", "left_semi").select("node", "size", "root").distinct())
+    now = rows.join(_grows(comp.select(F.col("a").alias("node"), F.col("b").alias("up"))), "node", "left").withColumn("root", F.coalesce("up", "node")).drop("up")
+    several = now.where("n > 3").groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    left = materialise(now.join(_grows(several), "key", "left_semi").select("node", "size", "root").distinct())
     proposed = materialise(_proposed(_prefixes(left, sets, percent), percent))
     more = materialise(_verified(proposed, sets, percent))
     drop(rows, left, proposed, sets)
@@ -166,10 +170,10 @@ def near_components(docs: DataFrame, percent: int = PERCENT, empty_alike: bool =
         drop(last)
     drop(more)
 
-    rooted = named.join(comp.select(F.col("a").alias("node"), F.col("b").alias("up")), "node", "left")
+    rooted = named.join(_grows(comp.select(F.col("a").alias("node"), F.col("b").alias("up"))), "node", "left")
     rooted = rooted.select("digest", F.coalesce("up", "node").alias("root"))
     found = F.col("root") if empty_alike else F.when(F.col("size") > 0, F.col("root")).otherwise(F.col("doc_id"))
-    out = materialise(prints.select("doc_id", "digest", "size").join(rooted, "digest").select("doc_id", F.col("size").alias("n_shingles"), found.alias("component_id")))
+    out = materialise(prints.select("doc_id", "digest", "size").join(_grows(rooted), "digest").select("doc_id", F.col("size").alias("n_shingles"), found.alias("component_id")))
     drop(prints, named, comp)
     return out
 
@@ -185,10 +189,10 @@ def minhash_components(docs: DataFrame, percent: int = 85) -> DataFrame:
     """
     rows = numbered(docs.select("doc_id", "text"))
     found = near_components(rows.select(F.col("_row").alias("doc_id"), "text"), percent, empty_alike=False)
-    found = materialise(rows.select("_row", F.col("doc_id").alias("id")).join(found.withColumnRenamed("doc_id", "_row"), "_row"))
+    found = materialise(rows.select("_row", F.col("doc_id").alias("id")).join(_grows(found.withColumnRenamed("doc_id", "_row")), "_row"))
     drop(rows)
     least = found.groupBy("component_id").agg(F.min("id").alias("least"))
-    out = found.join(least, "component_id")
+    out = found.join(_grows(least), "component_id")
     return out.select(F.col("id").alias("doc_id"), "n_shingles", F.col("least").alias("component_id"), F.coalesce(F.col("id") == F.col("least"), F.lit(False)).alias("kept"))
 
 

@@ -1,6 +1,6 @@
 """Fast similarity sketches of sets of 64-bit hashes.
 
-A sketch has ``COORDINATES`` places.  In each of the first ``COORDINATES`` rounds every element is hashed to a
+A sketch has a number of places.  In each of as many first rounds every element is hashed to a
 place and a value; in each of as many further rounds all elements go to one fixed place, the round's own, so every
 place is filled at last.  A place keeps its least (round, value), so rounds after the one that fills the last place
 change nothing and are left out: a set much larger than the sketch needs a round or two.  Two sets agree at a place
@@ -15,11 +15,13 @@ import numpy as np
 from alignlake.llm.anchors import combine
 
 #: Places of a band and bands; a pair of similarity s shares a band with probability 1 - (1 - s**ROWS)**BANDS.
-ROWS, BANDS = 6, 42
+ROWS, BANDS = 8, 44
 COORDINATES = ROWS * BANDS
+#: The same for lower similarities: least percent, places of a band, bands; a pair at the bound is missed once in a million times.
+SHAPES = ((85, ROWS, BANDS), (80, 7, 58), (70, 5, 76), (0, 2, 100))
 #: Elements times rounds that are hashed at once.
 _STEP = 1 << 12
-_ROUND = np.random.default_rng(42).integers(0, 1 << 63, 2 * COORDINATES, dtype=np.uint64)
+_ROUND = np.random.default_rng(42).integers(0, 1 << 63, 1 << 10, dtype=np.uint64)
 _HALF = np.uint64(32)
 _LOW = np.uint64((1 << 32) - 1)
 _EMPTY = np.iinfo(np.uint64).max
@@ -46,11 +48,16 @@ def sketch(found: np.ndarray, places: int = COORDINATES) -> np.ndarray:
     return least
 
 
-def bands(found: np.ndarray) -> list[int]:
+def shape(percent: int) -> tuple[int, int]:
+    """(places of a band, bands) for links of ``percent`` hundredths of similarity or more."""
+    return next((rows, bands) for least, rows, bands in SHAPES if percent >= least)
+
+
+def bands(found: np.ndarray, rows: int = ROWS, bands: int = BANDS) -> list[int]:
     """One signed 64-bit key for each band, from its number and its places; none for an empty set."""
     if not len(found):
         return []
-    key = np.arange(BANDS, dtype=np.uint64)
-    for column in sketch(found).reshape(BANDS, ROWS).T:
+    key = np.arange(bands, dtype=np.uint64)
+    for column in sketch(found, rows * bands).reshape(bands, rows).T:
         key = combine(key, column)
     return key.view(np.int64).tolist()
