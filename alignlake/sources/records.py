@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from alignlake.scratch import numbered
@@ -22,17 +23,22 @@ def faults(rows: DataFrame) -> DataFrame:
 
 
 def read_maf(spark: SparkSession, path: str) -> DataFrame:
-    """``s`` rows of each ``a`` block, numbered, with the block's tags and the row's ``q`` qualities (null without); other lines are left out."""
+    """``s`` rows of each ``a`` block, numbered, with the block's tags and qualities; other lines are left out.
+
+    A ``q`` line belongs to the last ``s`` line of its name before it, so a name may stand in a block more than once; rows without one have null.
+    """
     blocks = numbered(spark.read.text(path, lineSep=line_end(spark, path) * 2).select(F.replace("value", F.lit("\r"), F.lit("")).alias("value")), "block").where(r"value rlike '(?m)^a(\\s|$)'")
     tags = F.str_to_map(F.trim(F.regexp_extract("value", r"(?m)^a[ \t]*(.*)$", 1)), F.lit(r"\s+"), F.lit("="))
     lines = blocks.select("block", tags.alias("tags"), F.posexplode(F.split("value", "\n")).alias("line", "text")).where(r"text rlike '^[sq]\\s'")
     f = lines.select("block", "tags", "line", F.split("text", r"\s+").alias("f"))
-    quality = f.where("f[0] = 'q'").select("block", F.col("f")[1].alias("name"), F.col("f")[2].alias("quality"))
-    number = lambda i: F.col("f")[i].try_cast("long")
-    rows = f.where("f[0] = 's'").select(
-        "block", "tags", "line", F.col("f")[1].alias("name"), number(2).alias("start"), number(3).alias("size"), F.col("f")[4].alias("strand"), number(5).alias("src_size"), F.col("f")[6].alias("gapped"),
+    f = f.withColumn("kind", F.col("f")[0]).withColumn("name", F.col("f")[1])
+    own = F.last(F.when(F.col("kind") == "s", F.col("line")), ignorenulls=True).over(W.partitionBy("block", "name").orderBy("line"))
+    number = lambda i: F.col("s.f")[i].try_cast("long")
+    of = lambda kind: F.min(F.when(F.col("kind") == kind, F.struct("line", "f")))
+    rows = f.withColumn("own", own).where("own is not null").groupBy("block", "name", "own").agg(F.first("tags").alias("tags"), of("s").alias("s"), of("q").alias("q"))
+    return rows.select(
+        "block", "name", "tags", F.col("own").alias("line"), number(2).alias("start"), number(3).alias("size"), F.col("s.f")[4].alias("strand"), number(5).alias("src_size"), F.col("s.f")[6].alias("gapped"), F.get("q.f", F.lit(2)).alias("quality"),
     )
-    return rows.join(quality, ["block", "name"], "left")
 
 
 def read_folds(spark: SparkSession, path: str) -> DataFrame:
@@ -55,10 +61,12 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_wig(track: DataFrame, path: str) -> None:
-    """``(seq_id, track, pos, value)`` as fixed-step tracks, a record for each sequence and track."""
-    values = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "value"))), lambda r: r["value"].cast("string")), "\n")
-    each = track.groupBy("seq_id", "track").agg(values.alias("body"))
-    each.select(F.concat(F.lit("track type=wiggle_0 name="), "track", F.lit("\nfixedStep chrom="), "seq_id", F.lit(" start=0 step=1\n"), "body").alias("value")).write.text(path)
+    """``(seq_id, track, pos, value)`` as fixed-step tracks: two header lines, then a value a line; a long track lies in several files, in order."""
+    keys = ("seq_id", "track")
+    head = F.concat(F.lit("track type=wiggle_0 name="), "track", F.lit("\nfixedStep chrom="), "seq_id", F.lit(" start=0 step=1"))
+    lines = track.select(*keys, F.col("pos").cast("long").alias("pos"), F.col("value").cast("string").alias("line"))
+    lines = lines.unionByName(track.select(*keys).distinct().select(*keys, F.lit(-1).cast("long").alias("pos"), head.alias("line")))
+    lines.repartitionByRange(*keys, "pos").sortWithinPartitions(*keys, "pos").select("line").write.text(path)
 
 
 def read_plain(spark: SparkSession, path: str) -> DataFrame:

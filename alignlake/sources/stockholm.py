@@ -19,7 +19,7 @@ Tables = dict[str, DataFrame]
 
 
 def read_database(spark: SparkSession, path: str) -> Tables:
-    """All tables of a database; wrapped rows and annotations are joined, tag lines keep their order.
+    """All tables of a database; wrapped rows and annotations are joined, tag lines keep their order, blanks may stand around ``//``.
 
     An alignment's id is its ``ID``, else its ``AC``, else ``record-`` and its number; the second and later
     records of one id get ``~`` and their number behind it.

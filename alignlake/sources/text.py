@@ -14,11 +14,12 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return parts.select(F.regexp_extract(head, r"^(\S+)", 1).alias("seq_id"), F.regexp_extract(head, r"^\S+\s+(.*?)\s*$", 1).alias("descr"), F.regexp_replace(body, r"\s", "").alias("seq"))
 
 
-def write_fasta(sequences: DataFrame, path: str, width: int = 50) -> None:
-    """One record a sequence, residues wrapped at ``width``."""
+def write_fasta(sequences: DataFrame, path: str, width: int = 50, gapped: bool = True, sort: bool = False) -> None:
+    """One record a sequence, residues wrapped at ``width``; ``-._`` go unless ``gapped``, ``sort`` puts records in order of their ids."""
     head = F.rtrim(F.concat(F.lit(">"), "seq_id", F.lit(" "), F.coalesce("descr", F.lit(""))))
-    wrapped = F.regexp_replace("seq", f"(.{{{width}}})(?=.)", "$1\n")
-    sequences.select(F.concat(head, F.lit("\n"), wrapped).alias("value")).write.text(path)
+    wrapped = F.regexp_replace(F.col("seq") if gapped else F.translate("seq", "-._", ""), f"(.{{{width}}})(?=.)", "$1\n")
+    ordered = sequences.repartitionByRange("seq_id").sortWithinPartitions("seq_id") if sort else sequences
+    ordered.select(F.concat(head, F.lit("\n"), wrapped).alias("value")).write.text(path)
 
 
 def _unescape(c: Column) -> Column:
