@@ -133,16 +133,6 @@ def ancestors(nodes: DataFrame) -> DataFrame:
         up = up.unionByName(far)
 
 
-def descendants(nodes: DataFrame) -> DataFrame:
-    """Nodes below each inner node and the distance to the farthest of them."""
-    return ancestors(nodes).groupBy(F.col("ancestor").alias("node")).agg(F.count("*").alias("n_below"), F.max("distance").alias("farthest"))
-
-
-def depths(nodes: DataFrame) -> DataFrame:
-    """Links and summed length from each node to the root (which isn't listed)."""
-    return ancestors(nodes).groupBy("node").agg(F.max("hops").alias("depth"), F.max("distance").alias("depth_len"))
-
-
 def branch_lengths(nodes: DataFrame) -> DataFrame:
     return nodes.agg(F.sum("branch_len").alias("total"), F.min("branch_len").alias("shortest"), F.max("branch_len").alias("longest"))
 

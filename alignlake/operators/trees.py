@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from alignlake.operators.compare import runs_of
+from alignlake.operators.lifts import leaf_sets, path_to_root
 from alignlake.operators.sequences import ancestors, leaves
 from alignlake.scratch import materialise
 
@@ -17,18 +18,9 @@ def lineage(nodes: DataFrame) -> DataFrame:
     return ancestors(nodes).unionByName(own)
 
 
-def common_ancestor(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs ``(x, y)`` with their lowest common ancestor and the length of the path between them."""
-    up = lineage(nodes)
-    a = pairs.join(up.select(F.col("node").alias("x"), "ancestor", F.col("hops").alias("hx"), F.col("distance").alias("dx")), "x")
-    b = a.join(up.select(F.col("node").alias("y"), "ancestor", F.col("distance").alias("dy")), ["y", "ancestor"])
-    low = b.groupBy("x", "y").agg(F.min(F.struct("hx", "ancestor", (F.col("dx") + F.col("dy")).alias("d"))).alias("m"))
-    return low.select("x", "y", F.col("m.ancestor").alias("lca"), F.col("m.d").alias("path_len"))
-
-
 def reroot(nodes: DataFrame, root: str) -> DataFrame:
     """The tree with ``root`` on top: the links between it and the old root turn round, all others stay."""
-    path = lineage(nodes).where(F.col("node") == root).select(F.col("ancestor").alias("node"))
+    path = path_to_root(nodes, root)
     turned = nodes.join(path, "node", "left_semi").where("parent is not null").select(F.col("parent").alias("node"), F.col("node").alias("parent"), "branch_len")
     top = nodes.where(F.col("node") == root).select("node", F.lit(None).cast("string").alias("parent"), F.lit(None).cast("bigint").alias("branch_len"))
     return nodes.join(path, "node", "left_anti").select("node", "parent", "branch_len").unionByName(turned).unionByName(top)
@@ -56,13 +48,6 @@ def siblings(nodes: DataFrame) -> DataFrame:
     return nodes.join(n, "parent", "left").select("node", F.coalesce("n_siblings", F.lit(0)).alias("n_siblings"))
 
 
-def leaf_sets(nodes: DataFrame) -> DataFrame:
-    """``(node, n_leaves, clade)`` of each inner node; ``clade`` digests the sorted names of the leaves below it."""
-    ends = leaves(nodes).select("node")
-    below = ancestors(nodes).join(ends, "node", "left_semi").groupBy(F.col("ancestor").alias("node"))
-    return below.agg(F.count("*").alias("n_leaves"), F.md5(F.array_join(F.array_sort(F.collect_list("node")), ",")).alias("clade"))
-
-
 def clade_support(clades: DataFrame) -> DataFrame:
     """``clades(tree, clade)`` of sampled trees -> the share of trees that have each clade."""
     n = clades.select("tree").distinct().agg(F.count("*").alias("n_trees"))
@@ -79,21 +64,37 @@ def topology_map(a: DataFrame, b: DataFrame) -> DataFrame:
     return x.join(y, "clade", "full").select("node_a", "node_b", "clade")
 
 
+def rename_by_map(rows: DataFrame, mapped: DataFrame) -> DataFrame:
+    """Rows named after the nodes of one tree, renamed after those that ``topology_map`` has for them in the other; other names stay."""
+    to = mapped.where("node_a is not null and node_b is not null").select(F.col("node_a").alias("name"), "node_b")
+    return rows.join(to, "name", "left").withColumn("name", F.coalesce("node_b", "name")).drop("node_b")
+
+
 def find_nodes(nodes: DataFrame, names: DataFrame) -> DataFrame:
     """Nodes by ``names(name)``, how many have each name and whether it is just one."""
     n = names.distinct().join(nodes.select(F.col("name"), "node"), "name", "left")
     return n.groupBy("name").agg(F.count("node").alias("n"), F.min("node").alias("node")).withColumn("unique", F.col("n") == 1)
 
 
+def find_unique(nodes: DataFrame, names: DataFrame) -> DataFrame:
+    """``(name, node)``; a name that no node or more than one has is an error when the rows are computed."""
+    wrong = F.concat(F.lit("not just one node is named "), "name")
+    return find_nodes(nodes, names).select("name", F.when(F.col("unique"), F.col("node")).otherwise(F.raise_error(wrong)).alias("node"))
+
+
 def _skip(nodes: DataFrame, gone: DataFrame, add: bool) -> DataFrame:
     """``nodes`` without the ``gone(node)``: their children hang on the next node above that stays, with summed lengths if ``add``."""
     own = F.col("branch_len") if add else F.lit(0).cast(nodes.schema["branch_len"].dataType)
+    rounds, most = 0, max(1, nodes.count()).bit_length() + 1
     jump = materialise(nodes.join(gone, "node", "left_semi").select(F.col("node").alias("via"), F.col("parent").alias("to"), own.alias("more")))
     while True:
         on = jump.select(F.col("via").alias("to"), F.col("to").alias("next"), F.col("more").alias("extra"))
         far = jump.join(on, "to", "left")
         if far.where("next is not null").isEmpty():
             break
+        rounds += 1
+        if rounds > most:
+            raise ValueError("the parents of some nodes form a cycle")
         jump = materialise(far.select("via", F.coalesce("next", "to").alias("to"), (F.col("more") + F.coalesce("extra", F.lit(0))).alias("more")))
     left = nodes.join(gone, "node", "left_anti").join(jump.withColumnRenamed("via", "parent"), "parent", "left")
     return left.select("node", F.coalesce("to", "parent").alias("parent"), "name", (F.col("branch_len") + F.coalesce("more", F.lit(0))).alias("branch_len"))

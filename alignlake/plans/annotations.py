@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from alignlake.operators import annotate as N
+from alignlake.operators import lifts as L
 from alignlake.operators import sequences as S
 from alignlake.operators import tables as O
 from alignlake.operators import trees as T
@@ -239,5 +240,5 @@ def t7_node_path(spark, sf_dir):
 
 @query(f"{_LCA}, near AS (SELECT DISTINCT x AS node FROM m WHERE place = 1 AND (path_len < 6 OR x = y)), p AS (SELECT l_suppkey AS read, 'o' || l_orderkey AS node FROM lineitem) SELECT node, read FROM p SEMI JOIN near USING (node)")
 def j13_limit_placements(spark, sf_dir):
-    near = T.common_ancestor(_tree(spark, sf_dir), _pairs(spark, sf_dir))
+    near = L.common_ancestor(_tree(spark, sf_dir), _pairs(spark, sf_dir))
     return N.limit_placements(I.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("read"), F.concat(F.lit("o"), "l_orderkey").alias("node")), near, 6)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from alignlake.operators import lifts as L
 from alignlake.operators import sequences as S
 from alignlake.operators import tables as O
 from alignlake.operators import windows as X
@@ -138,7 +139,7 @@ def t1_ancestors(spark, sf_dir):
 
 @query(f"{_UP} SELECT ancestor AS node, count(*) AS n_below, max(distance) AS farthest FROM up GROUP BY ancestor")
 def t2_descendants(spark, sf_dir):
-    return S.descendants(_tree(spark, sf_dir))
+    return L.descendants(_tree(spark, sf_dir))
 
 
 @query(f"WITH {_TREE} SELECT node FROM tree WHERE node NOT IN (SELECT parent FROM tree WHERE parent IS NOT NULL)")
@@ -148,7 +149,7 @@ def t3_leaves(spark, sf_dir):
 
 @query(f"{_UP} SELECT node, max(hops)::INTEGER AS depth, max(distance) AS depth_len FROM up GROUP BY node")
 def t5_depth(spark, sf_dir):
-    return S.depths(_tree(spark, sf_dir))
+    return L.depths(_tree(spark, sf_dir)).where("depth > 0").select("node", "depth", "depth_len")
 
 
 @query(f"WITH {_TREE} SELECT parent AS node, count(*) AS n FROM tree WHERE parent IS NOT NULL GROUP BY parent HAVING count(*) <> 2")

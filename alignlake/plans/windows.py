@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from alignlake.operators import lifts as L
 from alignlake.operators import sequences as S
 from alignlake.operators import tables as O
 from alignlake.operators import trees as T
@@ -106,12 +107,20 @@ def _pairs(spark, sf_dir):
 
 @query(f"{_LCA} SELECT x, y, lca FROM m WHERE place = 1")
 def t4_common_ancestor(spark, sf_dir):
-    return T.common_ancestor(_tree(spark, sf_dir), _pairs(spark, sf_dir)).select("x", "y", "lca")
+    return L.common_ancestor(_tree(spark, sf_dir), _pairs(spark, sf_dir)).select("x", "y", "lca")
+
+
+@query(f"""{_UP}, l AS (SELECT node, ancestor, hops, distance FROM up UNION ALL SELECT node, node, 0, 0 FROM tree), g AS (SELECT DISTINCT o_custkey % 97 AS grp, 'o' || o_orderkey AS node FROM orders WHERE o_orderkey % 3 = 0 OR o_custkey % 97 < 9),
+n AS (SELECT grp, count(*) AS n FROM g GROUP BY grp), c AS (SELECT grp, ancestor, max(hops) AS hops FROM g JOIN l USING (node) GROUP BY grp, ancestor HAVING count(*) = (SELECT n FROM n WHERE n.grp = g.grp)),
+o AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY hops) AS k FROM c) SELECT g.grp, g.node, o.ancestor AS lca, l.distance FROM o JOIN g ON g.grp = o.grp JOIN l ON l.node = g.node AND l.ancestor = o.ancestor WHERE k = 1""")
+def t4_common_ancestor_of_sets(spark, sf_dir):
+    t = I.table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0 or o_custkey % 97 < 9")
+    return L.common_ancestors(_tree(spark, sf_dir), t.select((F.col("o_custkey") % 97).alias("grp"), F.concat(F.lit("o"), "o_orderkey").alias("node")))
 
 
 @query(f"{_LCA} SELECT x, y, path_len FROM m WHERE place = 1")
 def t6_path_length(spark, sf_dir):
-    return T.common_ancestor(_tree(spark, sf_dir), _pairs(spark, sf_dir)).select("x", "y", "path_len")
+    return L.common_ancestor(_tree(spark, sf_dir), _pairs(spark, sf_dir)).select("x", "y", "path_len")
 
 
 @query(f"""{_UP}, p AS (SELECT ancestor AS node FROM up WHERE node = 'n3' UNION ALL SELECT 'n3')
