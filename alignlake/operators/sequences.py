@@ -41,10 +41,20 @@ def alphabet_share(sequences: DataFrame, alphabet: str) -> DataFrame:
     return sequences.where(F.length("seq") > 0).select("seq_id", F.round(inside / F.length("seq"), 9).alias("share"))
 
 
-def words(sequences: DataFrame, k: int) -> DataFrame:
-    """Every k-mer with its position, by one pass of an overlapping match over each sequence."""
+#: Words that start in one piece of a sequence.
+PIECE = 1 << 16
+
+
+def words(sequences: DataFrame, k: int, piece: int = PIECE) -> DataFrame:
+    """Every k-mer with its position, by one pass of an overlapping match.
+
+    Long sequences are cut into pieces that overlap by ``k - 1``, each word starting in one of them, so no row holds all words of a sequence.
+    """
+    starts = F.sequence(F.lit(0), F.greatest(F.expr(f"(length(seq) - {k}) div {piece}"), F.lit(0)).cast("int"))
+    pieces = sequences.where(F.length("seq") >= k).select("seq_id", "seq", F.explode(starts).alias("i"))
+    pieces = pieces.select("seq_id", "i", F.substring(F.col("seq"), F.col("i") * piece + 1, F.lit(piece + k - 1)).alias("seq"))
     found = F.posexplode(F.regexp_extract_all("seq", F.lit(f"(?=(.{{{k}}}))"), F.lit(1))).alias("at", "word")
-    return sequences.select("seq_id", found)
+    return pieces.select("seq_id", "i", found).select("seq_id", (F.col("i") * piece + F.col("at")).alias("at"), "word")
 
 
 def kmer_count(sequences: DataFrame, k: int) -> DataFrame:
@@ -99,11 +109,10 @@ def check_brackets(marks: DataFrame) -> DataFrame:
 
 
 def stems(pairs: DataFrame) -> DataFrame:
-    """Maximal stacks of two or more nested neighbouring pairs."""
-    order = W.partitionBy("id").orderBy("lcol")
-    joined = (F.lag("lcol").over(order) == F.col("lcol") - 1) & (F.lag("rcol").over(order) == F.col("rcol") + 1)
-    runs = pairs.withColumn("new", F.when(joined, 0).otherwise(1)).withColumn("stem", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    return runs.groupBy("id", "stem").agg(F.min("lcol").alias("l0"), F.max("lcol").alias("l1"), F.min("rcol").alias("r0"), F.max("rcol").alias("r1"), F.count("*").alias("n")).where("n > 1").drop("stem")
+    """Maximal stacks of two or more nested neighbouring pairs; along a stack ``lcol + rcol`` stays, so only those pairs are sorted together."""
+    order = W.partitionBy("id", "centre").orderBy("lcol")
+    runs = pairs.withColumn("centre", F.col("lcol") + F.col("rcol")).withColumn("stem", F.col("lcol") - F.row_number().over(order))
+    return runs.groupBy("id", "centre", "stem").agg(F.min("lcol").alias("l0"), F.max("lcol").alias("l1"), F.min("rcol").alias("r0"), F.max("rcol").alias("r1"), F.count("*").alias("n")).where("n > 1").drop("centre", "stem")
 
 
 def track_to_features(track: DataFrame, least: float) -> DataFrame:

@@ -68,10 +68,20 @@ def expected_rate(init: DataFrame, rates: DataFrame) -> DataFrame:
 
 
 def link_parents(children: DataFrame, parents: DataFrame) -> DataFrame:
-    """Children ``(key, id, start, end)`` with the id of a parent of their key that contains them, the smallest; else null."""
-    up = parents.select("key", F.col("id").alias("parent"), F.col("start").alias("p0"), F.col("end").alias("p1"))
-    inside = (children["key"] == up["key"]) & (up["p0"] <= children["start"]) & (children["end"] <= up["p1"])
-    return children.join(up, inside, "left").groupBy(children["key"], children["id"]).agg(F.min("parent").alias("parent"))
+    """Children ``(key, id, start, end)`` with the id of a parent of their key that contains them, the smallest; else null.
+
+    A parent lies in the smallest bin of its key that holds it, a child asks that bin and all around it: a join on equal
+    bins.  So a child meets the parents of one bin for each level above its own, not all parents of its key.
+    """
+    own = lambda df: df.withColumn("level", F.length(F.regexp_replace(F.bin(F.expr("start ^ end")), "^0+", "")))
+    up = own(parents.select("key", F.col("id").alias("parent"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")))
+    up = up.select(F.col("key").alias("k"), "parent", F.col("start").alias("p0"), F.col("end").alias("p1"), "level", F.expr("shiftright(start, level)").alias("bin"))
+    top = up.agg(F.max("level").alias("top"))
+    asks = own(children.select("key", "id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))).crossJoin(F.broadcast(top))  # one row by construction
+    levels = F.when(F.col("level") <= F.col("top"), F.sequence("level", "top")).otherwise(F.array().cast("array<int>"))
+    asks = asks.select("key", "id", "start", "end", F.explode_outer(levels).alias("at")).withColumn("b", F.expr("shiftright(start, at)"))
+    met = asks.join(up, (F.col("key") == F.col("k")) & (F.col("at") == F.col("level")) & (F.col("b") == F.col("bin")) & (F.col("p0") <= F.col("start")) & (F.col("end") <= F.col("p1")), "left")
+    return met.groupBy("key", "id").agg(F.min("parent").alias("parent"))
 
 
 def append(first: DataFrame, second: DataFrame) -> DataFrame:

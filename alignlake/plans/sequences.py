@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from alignlake.operators import brackets as B
 from alignlake.operators import lifts as L
 from alignlake.operators import sequences as S
 from alignlake.operators import tables as O
@@ -94,6 +95,26 @@ def w6_bracket_pairs(spark, sf_dir):
     return S.bracket_pairs(_marks(spark, sf_dir))
 
 
+_FAMILY = """f AS (SELECT doc_id::VARCHAR AS id, unnest(string_split(translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'enaitsorlu', '<>()[]AaBb'), '')) AS ch, unnest(range(0, length(regexp_replace(lower(text), '[^a-z]', '', 'g')))) AS col FROM documents),
+m AS (SELECT id, col, CASE WHEN ch IN ('<', '>') THEN '<>' WHEN ch IN ('(', ')') THEN '()' WHEN ch IN ('[', ']') THEN '[]' WHEN ch IN ('A', 'a') THEN 'Aa' ELSE 'Bb' END AS family, CASE WHEN ch IN ('<', '(', '[', 'A', 'B') THEN 1 ELSE -1 END AS step FROM f WHERE ch IN ('<', '>', '(', ')', '[', ']', 'A', 'a', 'B', 'b')),
+d AS (SELECT *, sum(step) OVER (PARTITION BY id, family ORDER BY col) AS depth FROM m), l AS (SELECT *, CASE WHEN step = 1 THEN depth ELSE depth + 1 END AS level FROM d)"""
+
+
+def _structures(spark, sf_dir):
+    """Whole documents as structures of five families: the letters ``enaitsorlu`` are marks."""
+    return I.sequences(spark, sf_dir).select(F.col("seq_id").alias("id"), F.translate("seq", "enaitsorlu", "<>()[]AaBb").alias("text"))
+
+
+@query(f"WITH {_FAMILY}, n AS (SELECT id, family, col, step, lead(col) OVER w AS rcol, lead(step) OVER w AS after FROM l WINDOW w AS (PARTITION BY id, family, level ORDER BY col)) SELECT id, family, col AS lcol, rcol FROM n WHERE step = 1 AND after = -1")
+def w6_bracket_families(spark, sf_dir):
+    return B.match(_structures(spark, sf_dir), ("<>", "()", "[]", "Aa", "Bb"), 1000)
+
+
+@query(f"WITH {_FAMILY}, e AS (SELECT id, family, least(min(depth), 0)::BIGINT AS lowest, arg_max(depth, col)::BIGINT AS final FROM d GROUP BY id, family) SELECT * FROM e WHERE lowest < 0 OR final <> 0")
+def v5_bracket_faults(spark, sf_dir):
+    return B.faults(_structures(spark, sf_dir), ("<>", "()", "[]", "Aa", "Bb"), 1000)
+
+
 @query("""WITH t AS (SELECT user_id AS seq_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, value FROM events),
 h AS (SELECT *, pos - row_number() OVER (PARTITION BY seq_id ORDER BY pos) AS island FROM t WHERE value >= 50)
 SELECT seq_id, min(pos) + 1 AS start, max(pos) + 1 AS "end", round(sum(value), 6) AS score FROM h GROUP BY seq_id, island""")
