@@ -22,7 +22,7 @@ def r2_level_counts(spark, sf_dir):
 
 def r3_trace_monitor(spark, sf_dir):
     samples = _events(spark, sf_dir).select((F.col("user_id") % 20).alias("trace"), F.col("event_id").alias("sample_no"), F.col("value").alias("score"))
-    return jobs.verdicts(jobs.drain(jobs.window_means(samples, 200), ("trace", "part")), 50.0, 1)
+    return jobs.drain(jobs.trace_monitor(samples, 200, 50.0, 1), ("trace", "part"))
 
 
 def r1_record_stream(spark, sf_dir):

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState
 from pyspark.sql.types import StructType
 
 from alignlake.operators import compare as C
@@ -73,28 +77,51 @@ def level_counts(lines: DataFrame, width: str = "1 hour", late: str = "1 day") -
     return counts.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("start"), "level", "n")
 
 
-def window_means(samples: DataFrame, size: int) -> DataFrame:
-    """``(trace, sample_no, score)`` -> running count and mean of each window of ``size`` samples of each trace."""
-    part = F.expr(f"sample_no div {int(size)}").alias("part")
-    return samples.groupBy("trace", part).agg(F.count("score").alias("n"), F.round(F.avg("score"), 6).alias("mean"))
-
+_MEANS = "parts array<long>, sums array<double>, counts array<long>"
 
-def verdicts(means: DataFrame, goal: float, forgive: int) -> DataFrame:
-    """Windows below ``goal`` so far, and whether the trace stops there: more than ``forgive`` of them."""
-    order = W.partitionBy("trace").orderBy("part").rowsBetween(W.unboundedPreceding, 0)
-    low = F.sum(F.when(F.col("mean") < goal, 1).otherwise(0)).over(order)
-    return means.withColumn("low", low).withColumn("stop", F.col("low") > forgive)
 
+def trace_monitor(samples: DataFrame, size: int, goal: float, forgive: int) -> DataFrame:
+    """``(trace, sample_no, score)`` -> ``(trace, part, n, mean, low, stop)``: each window of ``size`` samples, as often as it changes.
 
-def drain(stream: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    ``low`` counts the windows up to this one whose mean is under ``goal``; ``stop`` says that more than ``forgive`` are,
+    as soon as the stream knows.  A trace's windows are its state (a few numbers each), so late samples change their
+    window and those behind it.  Null scores don't count; a window of nulls alone has no mean.
+    """
+    kind = samples.schema["trace"].dataType.simpleString()
+
+    def each(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = {p: (s, n) for p, s, n in zip(*state.get, strict=True)} if state.exists else {}
+        first = None
+        for batch in batches:
+            for part, scores in batch.groupby(batch["sample_no"] // size)["score"]:
+                s, n = held.get(int(part), (0.0, 0))
+                held[int(part)] = (s + float(scores.sum()), n + int(scores.count()))
+                first = int(part) if first is None else min(first, int(part))
+        parts = sorted(held)
+        state.update((parts, [held[p][0] for p in parts], [held[p][1] for p in parts]))
+        low, rows = 0, []
+        for p in parts:
+            s, n = held[p]
+            mean = round(s / n, 6) if n else None
+            low += mean is not None and mean < goal
+            if first is not None and p >= first:
+                rows.append((key[0], p, n, mean, low, low > forgive))
+        yield pd.DataFrame(rows, columns=["trace", "part", "n", "mean", "low", "stop"])
+
+    out = f"trace {kind}, part long, n long, mean double, low long, stop boolean"
+    return samples.select("trace", "sample_no", "score").groupBy("trace").applyInPandasWithState(each, out, _MEANS, "update", "NoTimeout")
+
+
+def drain(stream: DataFrame, keys: tuple[str, ...] = (), folder: str | None = None) -> DataFrame:
     """Run a stream over all that has arrived and read its result table.
 
-    The table and the stream's own state lie in a scratch folder below ``spark.checkpoint.dir``.  Without ``keys``
+    The table and the stream's own state lie in ``folder``, from which a later call goes on, or in a scratch folder below
+    ``spark.checkpoint.dir``.  Without ``keys``
     rows are added.  With them each batch hands on the rows that it changed, and the newest row of a key counts;
     state that a watermark has passed is dropped, its rows stay in the table.
     """
     spark = stream.sparkSession
-    folder = scratch_dir(spark)
+    folder = folder or scratch_dir(spark)
     if keys:
         sink = stream.writeStream.foreachBatch(lambda batch, i: batch.write.mode("overwrite").parquet(f"{folder}/table/batch={i}"))
     else:

@@ -76,3 +76,22 @@ def test_records_are_measured_as_they_come(spark, tmp_path):
     (tmp_path / "in" / "a").write_text(one.format("x", 5) + one.format("y", 1))
     got = jobs.monitor_alignments(spark, str(tmp_path / "in"), "SC", 2, 0.6).collect()
     assert [tuple(r) for r in got] == [("x", 2, 4, 66.666666667)]
+
+
+def test_the_stop_flag_comes_before_the_stream_ends_and_survives_a_restart(spark, tmp_path):
+    def add(name, rows):
+        spark.createDataFrame(rows, "trace string, sample_no long, score double").coalesce(1).write.parquet(str(tmp_path / "in" / name))
+
+    def run():
+        samples = spark.readStream.schema("trace string, sample_no long, score double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+        found = jobs.drain(jobs.trace_monitor(samples, 2, 5.0, 1), ("trace", "part"), str(tmp_path / "kept"))
+        return {(r.trace, r.part): (r.n, r["mean"], r.low, r.stop) for r in found.collect()}
+
+    add("1", [("a", 0, 1.0), ("a", 1, 2.0), ("a", 2, 4.0), ("b", 0, 9.0)])
+    add("2", [("a", 3, None), ("a", 4, 9.0)])
+    first = run()
+    assert first == {("a", 0): (2, 1.5, 1, False), ("a", 1): (1, 4.0, 2, True), ("a", 2): (1, 9.0, 2, True), ("b", 0): (1, 9.0, 0, False)}
+    early = spark.read.parquet(str(tmp_path / "kept" / "table" / "batch=0")).where("stop").collect()
+    assert [(r.trace, r.part) for r in early] == [("a", 1)]  # a batch was still to come
+    add("3", [("a", 1, 90.0), ("b", 1, 0.0)])  # a late sample lifts the first window
+    assert run() == {("a", 0): (3, 31.0, 0, False), ("a", 1): (1, 4.0, 1, False), ("a", 2): (1, 9.0, 1, False), ("b", 0): (2, 4.5, 1, False)}
