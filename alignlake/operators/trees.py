@@ -22,7 +22,7 @@ def reroot(nodes: DataFrame, root: str) -> DataFrame:
     """The tree with ``root`` on top: the links between it and the old root turn round, all others stay."""
     path = path_to_root(nodes, root)
     turned = nodes.join(path, "node", "left_semi").where("parent is not null").select(F.col("parent").alias("node"), F.col("node").alias("parent"), "branch_len")
-    top = nodes.where(F.col("node") == root).select("node", F.lit(None).cast("string").alias("parent"), F.lit(None).cast("bigint").alias("branch_len"))
+    top = nodes.where(F.col("node") == root).select("node", F.lit(None).cast("string").alias("parent"), F.lit(None).cast(nodes.schema["branch_len"].dataType).alias("branch_len"))
     return nodes.join(path, "node", "left_anti").select("node", "parent", "branch_len").unionByName(turned).unionByName(top)
 
 
