@@ -109,10 +109,11 @@ def pack(measured: DataFrame, buckets: int = BUCKETS, budget: int = TOKEN_BUDGET
 
     kinds = StructType([*measured.schema.fields, *StructType.fromDDL(f"`{names[0]}` int, `{part}` int, `{number}` long").fields])
     rows = materialise(measured.mapInArrow(run, kinds))
-    sizes = rows.groupBy(F.col(names[0]).alias("b"), F.col(part).alias("p")).agg(F.count("*").alias("n"))
-    first = sizes.select("b", "p", F.expr("sum(n) over (partition by b order by p) - n").alias("before"))  # a row for each task and bucket
-    placed = rows.join(first, (F.col(names[0]) == F.col("b")) & (F.col(part) == F.col("p")))
+    p, before = free_name(rows, "_p"), free_name(rows, "_before")
+    sizes = rows.groupBy(F.col(part).alias(p)).agg(*(F.count_if(F.col(names[0]) == i).alias(f"n{i}") for i in range(len(ends))))
+    first = sizes.select(p, F.array(*(F.expr(f"sum(n{i}) over (order by `{p}`) - n{i}") for i in range(len(ends)))).alias(before))
+    placed = rows.join(F.broadcast(first), F.col(part) == F.col(p))  # a row of a few numbers for each task that wrote
     padded = F.get(F.array(*[F.lit(int(e)).cast("long") for e in ends]), F.col(names[0]))
     fit = F.get(F.array(*[F.lit(max(1, budget // max(1, int(e)))).cast("long") for e in ends]), F.col(names[0]))
-    batch = F.floor((F.col("before") + F.col(number)) / fit).cast("long")
+    batch = F.floor((F.get(before, F.col(names[0])) + F.col(number)) / fit).cast("long")
     return placed.select(*(rows[c] for c in measured.columns), names[0], padded.alias(names[1]), batch.alias(names[2]))
