@@ -7,6 +7,10 @@ ancestors are found by lifting, for sets of nodes of any size.  No row grows wit
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,6 +94,73 @@ def leaf_sets(nodes: DataFrame, reach: list[DataFrame] | None = None) -> DataFra
     return out.join(inner.select("node"), "node", "left_semi").select("node", "n_leaves", F.md5(F.concat_ws("-", *names)).alias("clade"))
 
 
+#: Letters of sorted names that are joined into one row before the digest is taken.
+PIECE = 1 << 18
+
+
+def leaf_lists(nodes: DataFrame, reach: list[DataFrame] | None = None, piece: int = PIECE) -> DataFrame:
+    """``(node, n_leaves, clade)`` of each inner node; ``clade`` is the MD5 of all its leaves' names, sorted and joined by commas.
+
+    Every leaf meets every node above it.  The pairs are dealt and sorted by range, so a large node's names are sorted in many
+    tasks; runs of them are joined into pieces, and only those pass, in order, through the digest of their node.
+    """
+    reach = levels(nodes) if reach is None else reach
+    inner = nodes.select(F.col("parent").alias("node")).where("node is not null").distinct()
+    ends = nodes.select("node").where("node is not null").join(inner, "node", "left_anti")
+    now = materialise(ends.select(F.col("node").cast("string").alias("leaf"), F.col("node").alias("at"), F.lit(False).alias("above")))
+    for step in reach:
+        far = now.join(step.select(F.col("node").alias("at"), "up"), "at").select("leaf", F.col("up").alias("at"), F.lit(True).alias("above"))
+        last, now = now, materialise(now.unionByName(far))
+        drop(last)
+    kind = nodes.schema["node"].dataType.simpleString()
+    pairs = now.where("above").select(F.col("at").alias("node"), "leaf").repartitionByRange("node", "leaf").sortWithinPartitions("node", "leaf")
+
+    def joined(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, node, size, seq, kept = [], None, 0, 0, None
+        for part in parts:
+            kept = part.schema.field(0).type
+            for at, leaf in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                if held and (at != node or size >= piece):
+                    yield _piece(node, kept, held, seq)
+                    held, size, seq = [], 0, seq + 1
+                node = at
+                held.append(leaf)
+                size += len(leaf) + 1
+        if held:
+            yield _piece(node, kept, held, seq)
+
+    pieces = materialise(pairs.mapInArrow(joined, f"node {kind}, first string, seq long, n long, names string"))
+    drop(now)
+
+    def digested(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node, n, md5, kept = None, 0, None, None
+        for part in parts:
+            kept = part.schema.field(0).type
+            for at, more, names in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), strict=True):
+                if md5 is not None and at == node:
+                    md5.update(b",")
+                else:
+                    if md5 is not None:
+                        yield _digest(node, kept, n, md5)
+                    node, n, md5 = at, 0, hashlib.md5(usedforsecurity=False)
+                md5.update(names.as_py().encode())
+                n += more
+        if md5 is not None:
+            yield _digest(node, kept, n, md5)
+
+    ordered = pieces.repartition("node").sortWithinPartitions("node", "first", "seq").select("node", "n", "names")
+    return ordered.mapInArrow(digested, f"node {kind}, n_leaves long, clade string")
+
+
+def _piece(node: object, kind: pa.DataType, held: list[str], seq: int) -> pa.RecordBatch:
+    columns = [pa.array([node], kind), pa.array([held[0]]), pa.array([seq], pa.int64()), pa.array([len(held)], pa.int64()), pa.array([",".join(held)])]
+    return pa.RecordBatch.from_arrays(columns, names=["node", "first", "seq", "n", "names"])
+
+
+def _digest(node: object, kind: pa.DataType, n: int, md5: hashlib._Hash) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([node], kind), pa.array([n], pa.int64()), pa.array([md5.hexdigest()])], names=["node", "n_leaves", "clade"])
+
+
 def common_ancestors(nodes: DataFrame, members: DataFrame) -> DataFrame:
     """``members(grp, node)`` -> ``(grp, node, lca, distance)``: the lowest node that is above (or is) all of a group's nodes, and each one's distance to it.
 

@@ -1,10 +1,12 @@
 """Trees by doubled links against plain loops: random trees, forests, chains, unlisted roots."""
 
+import hashlib
 import random
 
 import pytest
 
 from alignlake.operators import lifts, trees
+from alignlake.plans import phylogeny
 
 SCHEMA = "node string, parent string, branch_len long"
 
@@ -94,3 +96,28 @@ def test_a_name_must_be_unique(spark):
     for wrong in ("b", "c"):
         with pytest.raises(Exception, match="not just one node"):
             ask("a", wrong)
+
+
+@pytest.mark.parametrize("piece", [7, lifts.PIECE])
+def test_leaf_lists_digest_the_sorted_names(spark, piece):
+    nodes = tree(150, 9, 5) | {"é0": (None, None), "é1": ("é0", 1), "z": ("é0", 1), "Z": ("é0", 1), "alone": (None, None)}
+    leaves = {x for x in nodes} - {p for p, _ in nodes.values()}
+    below = {}
+    for x in leaves:
+        for y, _ in above(nodes, x)[1:]:
+            below.setdefault(y, []).append(x)
+    want = {y: (len(b), hashlib.md5(",".join(sorted(b)).encode()).hexdigest()) for y, b in below.items()}
+    got = lifts.leaf_lists(frame(spark, nodes).repartition(3), piece=piece).collect()
+    assert {r.node: (r.n_leaves, r.clade) for r in got} == want and len(got) == len(want)
+
+
+def test_query_of_leaf_sets_digests_names_not_sums(spark):
+    path = "/root/testdata/sf0.001"
+    customers = {r[0] for r in spark.read.parquet(f"{path}/customer.parquet").select("c_custkey").collect()}
+    orders = spark.read.parquet(f"{path}/orders.parquet").select("o_custkey", "o_orderkey").collect()
+    below = {}
+    for c, o in orders:
+        below.setdefault(f"c{c}", []).append(f"o{o}")
+    got = {r.node: (r.n_leaves, r.clade) for r in phylogeny.t3_leaf_sets(spark, path).collect()}
+    for c in {f"c{x}" for x in customers} & set(below):
+        assert got[c] == (len(below[c]), hashlib.md5(",".join(sorted(below[c])).encode()).hexdigest())
